@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.line_dedup import line_dedup, sha256_text
+from skeinwork.llm.near_dedup import near_dedup
+from skeinwork.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,3 +50,72 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", sha256_text(F.col("text")).alias("kept_sha256"))
+
+
+ORACLE_SQL["op9_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, w, len(w) AS n FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), wins AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, n - 18)) AS p FROM words WHERE n >= 20)
+), later AS (
+  SELECT doc_id, p FROM wins QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM later, range(0, 20) t(k)
+), each_word AS (
+  SELECT doc_id, unnest(range(1, n + 1)) AS i, unnest(w) AS x FROM words
+), kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY e.i) AS t
+  FROM each_word e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id
+)
+SELECT w.doc_id, w.n AS n_words, w.n - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+
+@query
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup(table(spark, sf_dir, "documents"), shingle_words=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+ORACLE_SQL["op4_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM words WHERE len(w) >= 2
+    UNION ALL SELECT doc_id, w[1] FROM words WHERE len(w) = 1)
+), sizes AS (
+  SELECT d.doc_id, count(s.s) AS n FROM documents d LEFT JOIN shingles s USING (doc_id) GROUP BY d.doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(na.n) AS nx, any_value(nb.n) AS ny
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+  WHERE 10 * least(na.n, nb.n) >= 8 * greatest(na.n, nb.n)
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs WHERE 100 * common >= 80 * (nx + ny - common)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+), component AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+), class AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(l)) AS class_id
+  FROM (SELECT doc_id, list(s) AS l FROM shingles GROUP BY doc_id)
+)
+SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept, coalesce(k.class_id, s.doc_id) AS class_id
+FROM sizes s JOIN component c USING (doc_id) LEFT JOIN class k USING (doc_id)
+"""

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.plans.text_index import TextIndex
+
 #: Paragraphs of the fixture texts are separated by single new lines.
 SEPARATOR = r"\n+"
 
@@ -34,3 +39,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense vectors as chunks of documents of four."""
     e = table(spark, sf_dir, "embeddings")
     return e.select((F.col("vec_id") + 1).alias("chunk_id"), F.floor(F.col("vec_id") / 4).alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("category"))
+
+
+_stored: dict[tuple, TextIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, k: int, stem: bool = False) -> TextIndex:
+    """The text index of the fixture documents, written once per session to the folder that the executors share."""
+    key = (spark.sparkContext.applicationId, sf_dir, k, stem)
+    if key not in _stored:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skeinwork-")
+        path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+        _stored[key] = TextIndex.build(documents(spark, sf_dir), k, SEPARATOR, stem=stem).write(path)
+    return _stored[key]

@@ -88,8 +88,14 @@ def frequencies(spark: SparkSession, d: str) -> DataFrame:
     return TextIndex.frequencies(chunked(spark, d))
 
 
-def index(spark: SparkSession, d: str, stem: bool = False) -> TextIndex:
-    return TextIndex.build(docs(spark, d), K, ad.SEPARATOR, stem=stem)
+def index(spark: SparkSession, d: str) -> TextIndex:
+    """The lazy index, for queries that show its parts."""
+    return TextIndex.build(docs(spark, d), K, ad.SEPARATOR)
+
+
+def stored_index(spark: SparkSession, d: str, stem: bool = False) -> TextIndex:
+    """The index as it is searched: written once in a session, then read."""
+    return ad.stored_index(spark, d, K, stem)
 
 
 def rounded(name: str) -> Column:
@@ -180,7 +186,7 @@ def extract_articles(spark: SparkSession, d: str) -> DataFrame:
     return html.extract_articles(ad.table(spark, d, "pages"))
 
 
-@query(f"SELECT doc_id, trim(title, {_WS}) || '. ' || trim(category, {_WS}) AS content FROM docs")
+@query(sql(f"SELECT doc_id, trim(title, {_WS}) || '. ' || trim(category, {_WS}) AS content FROM docs", "docs"))
 def synth_content(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tf.synth_content(F.col("title"), F.col("category")).alias("content"))
 
@@ -391,32 +397,32 @@ def shown(results: DataFrame) -> DataFrame:
 
 @query(sql("SELECT query_id, word_id, qtf FROM qbag", **_scored(_ITEMS)))
 def query_vector(spark: SparkSession, d: str) -> DataFrame:
-    return index(spark, d).bag(items(spark, d))
+    return stored_index(spark, d).bag(items(spark, d))
 
 
 @query(sql(_results(), **_scored(_ONE)))
 def search_text(spark: SparkSession, d: str) -> DataFrame:
-    return shown(index(spark, d).search(one_query(spark)))
+    return shown(stored_index(spark, d).search(one_query(spark)))
 
 
 @query(sql(_results("owned"), **_scored(_ONE)))
 def search_text_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return shown(index(spark, d).search(one_query(spark), group_by_doc=False))
+    return shown(stored_index(spark, d).search(one_query(spark), group_by_doc=False))
 
 
 @query(sql(_results(), **_scored(_ONE, 1000)))
 def search_text_max_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return shown(index(spark, d).search(one_query(spark), max_chunks=1000))
+    return shown(stored_index(spark, d).search(one_query(spark), max_chunks=1000))
 
 
 @query(sql(_results(), **_scored(_ITEMS)))
 def batch_search_text(spark: SparkSession, d: str) -> DataFrame:
-    return shown(index(spark, d).search(items(spark, d)))
+    return shown(stored_index(spark, d).search(items(spark, d)))
 
 
 @query()
 def search_text_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return shown(index(spark, d, stem=True).search(items(spark, d)))
+    return shown(stored_index(spark, d, stem=True).search(items(spark, d)))
 
 
 # Full-text matching
@@ -580,7 +586,7 @@ _MM = _scored("SELECT doc_id AS query_id, title AS text FROM docs WHERE doc_id <
 @query(sql("SELECT query_id, rank::INTEGER AS rank, doc_id, title, url, category, image_url, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) JOIN docs USING (doc_id) WHERE rank <= 10", **_MM))
 def search_multimodal(spark: SparkSession, d: str) -> DataFrame:
     queries = docs(spark, d).where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
-    return shown(Engine(index(spark, d), image_index(spark, d)).search_multimodal(queries, image_queries(spark, d), alpha=0.6))
+    return shown(Engine(stored_index(spark, d), image_index(spark, d)).search_multimodal(queries, image_queries(spark, d), alpha=0.6))
 
 
 # Dense vectors
@@ -628,9 +634,9 @@ def eval_query_docs(spark: SparkSession, d: str) -> DataFrame:
     found="SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best) WHERE rank <= 10 AND doc_id <> query_id",
     shares="SELECT query_id, avg((d.category = s.category)::INTEGER::DOUBLE) AS p FROM found JOIN docs d ON d.doc_id = found.doc_id JOIN sampled s ON s.doc_id = query_id GROUP BY query_id"))
 def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
-    i = index(spark, d)
+    i = stored_index(spark, d)
     sampled = evaluate.query_sample(docs(spark, d), i.chunks).select(F.col("doc_id").alias("query_id"), "doc_id", "category", F.col("title").alias("text"))
-    results = i.search(sampled.select("query_id", "text"))
+    results = i.search(sampled.select("query_id", "text")).select("query_id", "doc_id", "rank")
     return evaluate.precision_at_k(results, sampled, docs(spark, d))
 
 

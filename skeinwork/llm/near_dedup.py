@@ -4,10 +4,11 @@
    equal sets form a class; the smallest id stands for it from here on, so copies are never paired.
 2. Band keys of the sketches give buckets. Every member of a bucket is tied to one hub (the bucket's smallest id);
    a member keeps the hub that it meets in most bands. The likelihood test and then the full sets decide.
-3. Buckets whose members still lie in several components hold pairs that were not compared. Those members are
-   compared by their sketches, all pairs of different components, in blocks of bounded size; what passes the
-   likelihood test is verified on full sets. So each pair that shares a bucket ends up in one component or is
-   compared, and no bucket is gathered in one task: a large one is split into pairs of blocks.
+3. Buckets whose members still lie in several components hold pairs that were not compared. A bucket of two is one
+   more pair for the likelihood test and verification. Members of larger ones meet in blocks of bounded size, where an
+   inverted index counts exact intersections and only links that join components come out. So each pair that shares a
+   bucket ends up in one component or is compared, and no bucket is gathered in one task: a large one is split into
+   pairs of blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,17 +77,22 @@ def _plausible(pairs: DataFrame, reps: DataFrame, m: int, similarity: float) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(emit, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, store: Store, name: str) -> DataFrame:
-    """The stored pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if pairs.count() <= FEW_IDS // 2 else ids
+def _sets(docs: DataFrame, ids: DataFrame, n: int, size: int, store: Store, name: str) -> DataFrame:
+    """Full shingle sets of the documents with the given n ids, stored."""
+    ids = F.broadcast(ids) if n <= FEW_IDS else ids
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in tx.chunks(batches):
             value, begin = shingle_sets(tx.Words(texts, lower=True), size)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([value[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
-    sets = store.put(docs.join(ids, "id", "left_semi").mapInArrow(emit, "id long, shingles binary"), f"{name}_sets")
+    return store.put(docs.join(ids, "id", "left_semi").mapInArrow(emit, "id long, shingles binary"), name)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, store: Store, name: str) -> DataFrame:
+    """The stored pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, ids, 2 * pairs.count(), size, store, f"{name}_sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,37 +109,83 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, store:
     return out
 
 
-def _missed(bands: DataFrame, reps: DataFrame, components: DataFrame, m: int, similarity: float) -> DataFrame:
-    """Step 3: pairs of different components that share a bucket and pass the likelihood test."""
+def _torn(bands: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets that hold several components: the rows, and the buckets with their size and number of blocks."""
     placed = bands.join(components.withColumnRenamed("component", "__c"), "id", "left").select("key", "id", F.coalesce("__c", "id").alias("c"))
-    torn = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = placed.join(torn, "key").withColumn("blocks", blocks).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(reps.select("id", "n", "sketch"), "id").select("key", "i", "j", "id", "c", "own", "n", "sketch")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint16).reshape(-1, m)
-        ids, c, n, own = (pdf[x].to_numpy() for x in ("id", "c", "n", "own"))
-        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        out_a, out_b = [], []
-        for k in range(len(pdf)):
-            rest = np.arange(k + 1, len(pdf))
-            rest = rest[(c[rest] != c[k]) & (np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]) - 1e-6)]
-            if across:
-                rest = rest[own[rest] != own[k]]
-            if len(rest):
-                x, y = regs[k], regs[rest]
-                ok = may_be_similar((x == y).sum(1), (x > y).sum(1), (x < y).sum(1), np.full(len(rest), float(n[k])), n[rest].astype(float), similarity)
-                out_a += [min(ids[k], z) for z in ids[rest[ok]]]
-                out_b += [max(ids[k], z) for z in ids[rest[ok]]]
-        return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, band_rows: int = 5, bands: int = 32) -> DataFrame:
+    torn = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b")).where("lo < hi")
+    return placed, torn.select("key", "size", "a", "b", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+
+
+def _dealt(placed: DataFrame, torn: DataFrame) -> DataFrame:
+    """Each row of a torn bucket once for every pair of blocks (i, j) that its own block belongs to."""
+    rows = placed.join(torn.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def links_between(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a group of documents that join different components, without those that others make needless.
+
+    An inverted index over the group's shingles counts the intersections of one document with all others at once. Only
+    documents outside the largest component are looked up: they see every pair of different components.
+    """
+    size = np.array([len(x) for x in sets])
+    shingle, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(place, kind="stable")
+    posting, at = owner[order], np.searchsorted(place[order], np.arange(len(shingle) + 1))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    names, of = np.unique(component, return_inverse=True)
+    largest, out = np.bincount(of).argmax(), []
+    for x in np.flatnonzero(of != largest):
+        common = np.bincount(np.concatenate([posting[at[t] : at[t + 1]] for t in place[begin[x] : begin[x + 1]]]), minlength=len(sets))
+        linked = np.flatnonzero((100 * common >= percent * (size + size[x] - common)) & (of != of[x]))
+        for c in np.unique(of[linked]):
+            y = linked[of[linked] == c][0]
+            out.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+            of[of == c] = of[x]
+    return out
+
+
+def _compared(dealt: DataFrame, docs: DataFrame, size: int, percent: int, store: Store, name: str) -> DataFrame:
+    """Step 3 for buckets of three and more: whole groups of rows are compared on full sets where they are."""
+    ids = dealt.select("id").distinct()
+    sets = _sets(docs, ids, ids.count(), size, store, f"{name}_sets")
+    rows = dealt.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            columns = (b.column(x).to_pylist() for x in ("key", "i", "j", "id", "c", "shingles"))
+            for key, i, j, *row in zip(*columns, strict=True):
+                if (key, i, j) != now:
+                    yield from found(held)
+                    now, held = (key, i, j), []
+                held.append(row)
+        yield from found(held)
+
+    def found(held: list) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            sets = [np.frombuffer(x, dtype=np.uint64) for _, _, x in held]
+            pairs = links_between(np.array([x for x, _, _ in held]), np.array([c for _, c, _ in held]), sets, percent)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    out = store.put(rows.select("key", "i", "j", "id", "c", "shingles").mapInArrow(compare, "a long, b long").distinct(), name)
+    store.drop(f"{name}_sets")
+    return out
+
+
+def _merged(components: DataFrame, links: DataFrame, store: Store, name: str) -> DataFrame:
+    """The components after further links, which are drawn between the old components."""
+    of = lambda x: components.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
+    over = connected_components(between.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), store, name)
+    ids = components.union(between.select("a", "c_a")).union(between.select("b", "c_b")).distinct()
+    return store.put(ids.join(over.select(F.col("id").alias("component"), F.col("component").alias("__over")), "component", "left").select("id", F.coalesce("__over", "component").alias("component")), f"{name}_ids")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, band_rows: int = 6, bands: int = 53) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``class_id``, ``component_id`` and ``kept``.
 
     Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; a document's set holds its distinct shingles
@@ -142,7 +193,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     >= ``percent`` * union. ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id
     reachable, ``kept`` whether that is the row's own. Null, empty or blank texts have no set and stay alone. Ids must
     be unique and not null (rows with a null id are left out). A pair at exactly 80 % shares no bucket with
-    probability (1 - 0.8**5)**32 = 3e-6.
+    probability (1 - 0.8**6)**53 = 1e-7.
     """
     spark = docs.sparkSession
     store, m, similarity = Store(spark), bands * band_rows, percent / 100
@@ -160,9 +211,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _verified(tied, small, shingle_words, percent, store, "links")
     near = connected_components(links, store, "near")
 
-    missed = store.put(_missed(shared.select("key", "id"), reps, near, m, similarity), "missed")
-    more = _verified(missed, small, shingle_words, percent, store, "more")
-    components = connected_components(links.union(more), store, "all")
+    placed, torn = _torn(shared.select("key", "id"), near)
+    torn = store.put(torn, "torn")
+    twos = store.put(_plausible(torn.where("size = 2").select("a", "b").distinct(), reps, m, similarity), "twos")
+    more = _verified(twos, small, shingle_words, percent, store, "more")
+    dealt = store.put(_dealt(placed, torn.where("size > 2")), "dealt")
+    more = more.union(_compared(dealt, small, shingle_words, percent, store, "compared"))
+    components = _merged(near, more, store, "all")
     store.drop("buckets")
 
     placed = classes.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("component"))

@@ -63,11 +63,11 @@ def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def may_be_similar(equal: np.ndarray, above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float, slack: float = 18.0) -> np.ndarray:
+def may_be_similar(equal: np.ndarray, above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float, slack: float = 11.0) -> np.ndarray:
     """Joint likelihood of both sketches, given the sizes of the sets: False where ``similarity`` or more is implausible.
 
     ``equal``, ``above`` and ``below`` count the registers of a that are equal to, above and below those of b. The
-    likelihood ratio against the best value must be over exp(-slack); 18 is six standard deviations.
+    likelihood ratio against the best value must be over exp(-slack); 11 is about 4.7 standard deviations, a miss of one in a million.
     """
     u = n_a / (n_a + n_b)
     v = 1 - u

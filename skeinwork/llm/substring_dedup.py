@@ -105,24 +105,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document. Null text has no words. ``id_col`` must be unique; a row with a null id takes no part and keeps its
     words. Other columns of the input are ignored, whatever their names.
     """
-    small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    first = small.where("id IS NOT NULL").select("id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).groupBy("h1", "h2").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("is_first"))
-    base = small.join(first, "id", "left")
+    small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    text = F.coalesce(F.col("body"), F.lit(""))
+    # One filter and one name for all branches below, so that they share one exchange of the texts.
+    numbered = small.where("id IS NOT NULL")
+    first = numbered.select("id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).groupBy("h1", "h2").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("is_first"))
+    base = numbered.join(first, "id", "left")
 
     def emit_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in tx.chunks(batches):
+        for part, texts in tx.chunks(batches, "body"):
             words = tx.Words(texts, lower=False)
             found = [minima(words, i, width) for i in range(len(texts))]
             ids = np.repeat(part.column("id").to_numpy(), [len(x) for x, _ in found])
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(np.concatenate([x for x, _ in found]))), pa.array(np.concatenate([n for _, n in found])), pa.array(ids)], names=["m", "n", "id"])
 
-    counted = base.where("is_first").select("id", "text").mapInArrow(emit_minima, "m long, n long, id long").groupBy("m").agg(F.sum("n").alias("n"), F.max("id").alias("id"))
+    counted = base.where("is_first").select("id", "body").mapInArrow(emit_minima, "m long, n long, id long").groupBy("m").agg(F.sum("n").alias("n"), F.max("id").alias("id"))
     alone = counted.where("n = 1").groupBy("id").agg(F.collect_list("m").alias("alone"))
     known = base.join(alone, "id", "left")
 
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in tx.chunks(batches):
+        for part, texts in tx.chunks(batches, "body"):
             words = tx.Words(texts, lower=False)
             one, two, ids = [], [], []
             for i, (d, skip) in enumerate(zip(part.column("id").to_pylist(), _longs(part.column("alone")), strict=True)):
@@ -132,11 +134,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids.append(np.full(len(one[-1]), d, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(np.concatenate(one))), pa.array(tx.signed(np.concatenate(two))), pa.array(np.concatenate(ids))], names=["h1", "h2", "id"])
 
-    earliest = known.where("is_first").select("id", "text", "alone").mapInArrow(emit_windows, "h1 long, h2 long, id long").groupBy("h1", "h2").agg(F.min("id").alias("id"))
+    earliest = known.where("is_first").select("id", "body", "alone").mapInArrow(emit_windows, "h1 long, h2 long, id long").groupBy("h1", "h2").agg(F.min("id").alias("id"))
     own = earliest.groupBy("id").agg(F.collect_list("h1").alias("own"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in tx.chunks(batches):
+        for part, texts in tx.chunks(batches, "body"):
             words = tx.Words(texts, lower=False)
             counts = words.counts()
             kept, n_removed, spans = [], [], []
@@ -157,4 +159,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", span)])
-    return known.join(own, "id", "left").select("id", "text", "is_first", "alone", "own").mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+    known = known.join(own, "id", "left").select("id", "body", "is_first", "alone", "own")
+    unnumbered = small.where("id IS NULL").select("id", "body", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("is_first", "alone", "own")])
+    return known.union(unnumbered).mapInArrow(cut, schema).withColumnRenamed("id", id_col)

@@ -1,14 +1,17 @@
 """Sequence packing by lexical retrieval.
 
-Documents are tokenised where they are read and dealt by hash to shards of bounded size. Each shard builds a BM25
-inverted index over token ids. A seed document opens a window; the index returns its unused neighbours, best first,
-which fill the window. The document that overflows is cut, its rest opens the next window, and it is the next seed. So
+Documents are tokenised once, where they are read; document frequencies by token id and the mean length are counted over
+all of them. They are dealt by hash to shards of bounded size. Each shard builds a BM25 inverted index over token ids.
+A seed document opens a window; the index returns its unused neighbours, best first, which fill the window. The document that overflows is cut, its rest opens the next window, and it is the next seed. So
 every sequence but a shard's last is full; the last is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,47 +21,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm import _text as tx
+from skeinwork.llm._store import Store
 
-#: Bytes of text in a shard, on average.
-SHARD_BYTES = 6_000_000
-#: Words whose ids are remembered by a worker.
-CACHE_WORDS = 400_000
+#: Bytes of token ids in a shard, on average.
+SHARD_BYTES = 3_000_000
+#: Pieces of text whose ids are remembered by a worker.
+CACHE_PIECES = 400_000
 #: Terms of a seed that are looked up: those of the greatest weight.
 QUERY_TERMS = 48
 K1, B = 1.2, 0.75
 END = 1
 
 
+#: The pattern of the tokenizers that have the fast path below.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _class(kind: str) -> str:
+    """Characters below U+0180 whose category begins with ``kind``, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: What normaliser and pattern may treat in other ways than ``_PIECES``: left to the tokenizer, word by word.
+_ODD = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
+#: The pieces that PATTERN makes of lower-cased text without ``_ODD``.
+_PIECES = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_class('L')}{_class('N')}]+")
+_WHITE = re.compile("[\t-\r ]+")
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit integers; equal to the tokenizer's own on the whole text.
 
-    The tokenizer drops white space and never joins text across it, so a text's ids are those of its words.
+    A tokenizer that lower-cases, splits by PATTERN and marks the ends of pieces never joins text across pieces, so a
+    text's ids are those of its pieces; each is encoded once while it is remembered. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        about = json.loads(self.tokenizer.to_str())
+        self.known: dict[str, bytes] = {}
+        end = about["model"].get("end_of_word_suffix")
+        steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
+        self.split = bool(end) and steps == ["NFC", "Replace", "Lowercase"] and PATTERN in json.dumps(about["pre_tokenizer"]).replace("\\\\", "\\")
+        if self.split:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+
+    def _pieces(self, text: str) -> list[str]:
+        if "<|" not in text if text.isascii() else not _ODD.search(text):
+            return _PIECES.findall(text.lower())
+        out = []
+        for w in _WHITE.split(text):
+            out += [w] if _ODD.search(w) else _PIECES.findall(w.lower())
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        for w, e in zip(odd := [w for w in new if _ODD.search(w)], self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        plain = [w for w in new if w not in self.known]
+        for at in range(0, len(plain), 10_000):
+            part = plain[at : at + 10_000]
+            groups = [part[i : i + 100] for i in range(0, len(part), 100)]
+            ids = np.concatenate([e.ids for e in self.bare.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)]).astype("<u4")
+            ends, data = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes()
+            self.known.update(zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if not self.split:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        pieces = [self._pieces(t.decode()) for t in texts]
+        if len(self.known) > CACHE_PIECES:
             self.known = {}
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self._learn(list(set().union(*pieces).difference(self.known)))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, x)) for x in pieces]
 
 
 class Index:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents, with the corpus's idf by token id and mean length."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
         of = np.repeat(np.arange(n), sizes)
@@ -66,8 +115,7 @@ class Index:
         self.doc, self.term = key >> 32, key & 0xFFFFFFFF
         self.begin = np.searchsorted(self.doc, np.arange(n + 1))
         self.df = np.bincount(self.term)
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / sizes.mean()))
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
         order = np.argsort(self.term, kind="stable")
         self.at = np.searchsorted(self.term[order], np.arange(len(self.df) + 1))
         self.post_doc, self.post_weight = self.doc[order], self.weight[order]
@@ -91,11 +139,11 @@ class Index:
         return top[np.lexsort((top, -score[top]))]
 
 
-def order(docs: list[np.ndarray], window: int) -> Iterator[int]:
+def order(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> Iterator[int]:
     """The documents' numbers in the order in which they fill windows."""
     if not docs:
         return
-    index, used = Index(docs), np.zeros(len(docs), dtype=bool)
+    index, used = Index(docs, idf, mean), np.zeros(len(docs), dtype=bool)
     seed, filled, queue, following = None, 0, iter(()), 0
     for _ in range(len(docs)):
         take = next((int(d) for d in queue if not used[d]), None)
@@ -113,13 +161,13 @@ def order(docs: list[np.ndarray], window: int) -> Iterator[int]:
         yield take
 
 
-def pack(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset). Windows are full; the last is cut into powers of two."""
     total = sum(map(len, docs))
     rest = total % window
     cuts = [window] * (total // window) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
     out, sequence, offset = [], 0, 0
-    for d in order(docs, window):
+    for d in order(docs, window, idf, mean):
         start = 0
         while start < len(docs[d]):
             n = min(len(docs[d]) - start, cuts[sequence] - offset)
@@ -130,6 +178,34 @@ def pack(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
     return out
 
 
+def _statistics(tokens: DataFrame) -> tuple[np.ndarray, float, int]:
+    """Of all documents: idf by token id, mean length, and bytes of ids. No more rows than the vocabulary has ids come here."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, total, size = np.zeros(0, dtype=np.int64), 0, 0, 0
+        for b in batches:
+            ids = _ids(b.column("ids"), b.column("wide"))
+            if not ids:
+                continue
+            lengths = np.array([len(x) for x in ids])
+            held = np.unique(np.repeat(np.arange(len(ids)), lengths) << 32 | np.concatenate(ids).astype(np.int64)) & 0xFFFFFFFF
+            more = np.bincount(held, minlength=len(df))
+            more[: len(df)] += df
+            df, docs, total, size = more, docs + len(ids), total + int(lengths.sum()), size + sum(x.nbytes for x in ids)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2, -3], term])), pa.array(np.concatenate([[docs, total, size], df[term]]))], names=["term", "n"])
+
+    got = {r["term"]: r["n"] for r in tokens.mapInArrow(emit, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    docs, total, size = (got.pop(k, 0) for k in (-1, -2, -3))
+    df = np.zeros(max(got, default=0) + 1)
+    df[list(got)] = list(got.values())
+    return np.log1p((docs - df + 0.5) / (df + 0.5)), total / max(docs, 1), size
+
+
+def _ids(column: pa.Array, wide: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u4" if w else "<u2") for x, w in zip(column.to_pylist(), wide.to_pylist(), strict=True)]
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: ``id_col``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``.
 
@@ -138,8 +214,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     are the piece's ids. An empty table gives no rows.
     """
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = small.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
@@ -148,13 +222,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             # Two bytes an id are enough for a vocabulary of up to 65,536.
             wide = any(len(x) and x.max() > 0xFFFF for x in ids)
             data = [np.append(x, END).astype("<u4" if wide else "<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("shard"), pa.array([wide] * len(ids)), pa.array(data, pa.binary())], names=["id", "shard", "wide", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([wide] * len(ids)), pa.array(data, pa.binary())], names=["id", "wide", "ids"])
+
+    tokens = Store(docs.sparkSession).put(small.mapInArrow(tokenise, "id long, wide boolean, ids binary"), "tokens")
+    idf, mean, size = _statistics(tokens)
+    shards = max(1, -(-size // shard_bytes))
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("ids", "ascending")])
-        docs = [np.frombuffer(x, dtype="<u4" if w else "<u2") for x, w in zip(table["ids"].to_pylist(), table["wide"].to_pylist(), strict=True)]
+        docs = _ids(table["ids"], table["wide"])
         own, shard = table["id"].to_pylist(), table["shard"][0].as_py()
-        rows = [(own[d], a, n, docs[d][a : a + n].astype("<u4"), len(docs[d]), (shard << 32) + s, o) for d, a, n, s, o in pack(docs, window)]
+        rows = [(own[d], a, n, docs[d][a : a + n].astype("<u4"), len(docs[d]), (shard << 32) + s, o) for d, a, n, s, o in pack(docs, window, idf, mean)]
         columns = list(zip(*rows, strict=True))
         crc = [zlib.crc32(x.tobytes()) for x in columns[3]]
         cast = [pa.array(c, pa.int64()) for c in (columns[0], columns[1], columns[2], crc, columns[4], columns[5], columns[6])]
@@ -162,7 +240,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)), flat)
         return pa.Table.from_arrays([*cast, lists], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("long"))
-    tokens = dealt.mapInArrow(tokenise, "id long, shard long, wide boolean, ids binary")
+    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("id", "ids"), F.lit(shards)).cast("long"))
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, ids array<int>"
-    return tokens.groupBy("shard").applyInArrow(fill, schema).withColumnRenamed("id", id_col)
+    return dealt.groupBy("shard").applyInArrow(fill, schema).withColumnRenamed("id", id_col)

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from skeinwork.llm import topk
-from skeinwork.llm.packing import Encoder, Index, pack, pack_documents
+from skeinwork.llm.packing import Encoder, Index, _statistics, pack, pack_documents
 from skeinwork.llm.topk import top_k
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -28,11 +28,35 @@ def test_word_by_word_ids_equal_the_whole_text(tokenizer):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_fast_path_ids_equal_the_tokenizers_own(tokenizer):
+    r = random.Random(1)
+    low = [chr(c) for c in range(0x300)]
+    odd = [chr(c) for c in (0x301, 0x2019, 0x4E2D, 0x3A3, 0x3C3, 0x130, 0x2028, 0xFB01, 0x1E9E, 0x212B, 0x660, 0xAC00, 0x1100, 0x1161, 0x1F600, 0x200D, 0x2003)]
+    texts = ["".join(r.choices(r.choice([low, low + odd * 20, [*"ab'stredvlm0 <|>,.", "'s", "<|endoftext|>"]]), k=r.randint(0, 14))) for _ in range(3000)]
+    got = Encoder(PATH).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Hello  wörld\n\n it's 'S"
+    assert np.frombuffer(Encoder(path).encode([text.encode()])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_statistics_cover_all_documents(spark):
+    docs = [[5, 5, 1], [5, 9, 70000, 1], [1]]
+    rows = [(any(x > 65535 for x in d), np.array(d, dtype="<u4" if max(d) > 65535 else "<u2").tobytes()) for d in docs]
+    idf, mean, size = _statistics(spark.createDataFrame(rows, "wide boolean, ids binary").repartition(3))
+    want = {5: 2, 1: 3, 9: 1, 70000: 1, 4: 0}
+    assert {t: idf[t] for t in want} == {t: pytest.approx(np.log1p((3 - n + 0.5) / (n + 0.5))) for t, n in want.items()}
+    assert mean == pytest.approx(8 / 3) and size == 2 * 3 + 4 * 4 + 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pack_places_every_token_once(seed):
     r = np.random.default_rng(seed)
     docs = [r.integers(0, 50, r.integers(1, 400)).astype(np.uint16) for _ in range(60)]
-    out = pack(docs, 128)
+    out = pack(docs, 128, np.ones(50), 200.0)
     total = sum(map(len, docs))
     places = {d: [] for d in range(60)}
     filled = {}
@@ -48,11 +72,11 @@ def test_pack_places_every_token_once(seed):
 def test_neighbours_against_plain_bm25():
     r = np.random.default_rng(1)
     docs = [r.integers(0, 30, 12).astype(np.uint16) for _ in range(40)]
-    index, used = Index(docs), np.zeros(40, dtype=bool)
-    used[[0, 5]] = True
-    got = index.neighbours(0, used, most=40)
     n, mean = 40, np.mean([len(d) for d in docs])
     df = {t: sum(t in d for d in docs) for t in range(30)}
+    index, used = Index(docs, np.log1p([(n - df[t] + 0.5) / (df[t] + 0.5) for t in df]), mean), np.zeros(40, dtype=bool)
+    used[[0, 5]] = True
+    got = index.neighbours(0, used, most=40)
     score = np.zeros(40)
     for t in set(docs[0].tolist()):
         if 1 < df[t] <= 13:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from skeinwork.llm._store import Store
 
 #: Bytes of token ids in a shard, on average.
 SHARD_BYTES = 3_000_000
-#: Pieces of text whose ids are remembered by a worker.
-CACHE_PIECES = 400_000
+#: Pieces of text whose ids a worker remembers, also from one task to the next (some 130 MB).
+CACHE_PIECES = 800_000
 #: Terms of a seed that are looked up: those of the greatest weight.
 QUERY_TERMS = 48
 K1, B = 1.2, 0.75
@@ -104,6 +105,16 @@ class Encoder:
         return [b"".join(map(get, x)) for x in pieces]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder for the tokenizer."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Index:
     """BM25 over the token ids of a shard's documents, with the corpus's idf by token id and mean length."""
 
@@ -182,16 +193,17 @@ def _statistics(tokens: DataFrame) -> tuple[np.ndarray, float, int]:
     """Of all documents: idf by token id, mean length, and bytes of ids. No more rows than the vocabulary has ids come here."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, total, size = np.zeros(0, dtype=np.int64), 0, 0, 0
+        df, docs, total, size = np.zeros(1 << 16, dtype=np.int64), 0, 0, 0
         for b in batches:
-            ids = _ids(b.column("ids"), b.column("wide"))
-            if not ids:
-                continue
-            lengths = np.array([len(x) for x in ids])
-            held = np.unique(np.repeat(np.arange(len(ids)), lengths) << 32 | np.concatenate(ids).astype(np.int64)) & 0xFFFFFFFF
-            more = np.bincount(held, minlength=len(df))
-            more[: len(df)] += df
-            df, docs, total, size = more, docs + len(ids), total + int(lengths.sum()), size + sum(x.nbytes for x in ids)
+            for x in _ids(b.column("ids"), b.column("wide")):
+                x = np.sort(x, kind="stable")  # of two bytes: a radix sort
+                x = x[np.append(True, x[1:] != x[:-1])]
+                if x[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(x[-1]) + 1 - len(df), dtype=np.int64))
+                df[x] += 1
+            docs += b.num_rows
+            size += (data := pa.compute.sum(pa.compute.binary_length(b.column("ids"))).as_py() or 0)
+            total += data // 2 if not pa.compute.any(b.column("wide")).as_py() else sum(map(len, _ids(b.column("ids"), b.column("wide"))))
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2, -3], term])), pa.array(np.concatenate([[docs, total, size], df[term]]))], names=["term", "n"])
 
@@ -216,9 +228,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         for part, texts in tx.chunks(batches):
-            ids = [np.frombuffer(x, dtype="<u4") for x in encoder.encode(texts)]
+            ids = [np.frombuffer(x, dtype="<u4") for x in own.encode(texts)]
             # Two bytes an id are enough for a vocabulary of up to 65,536.
             wide = any(len(x) and x.max() > 0xFFFF for x in ids)
             data = [np.append(x, END).astype("<u4" if wide else "<u2").tobytes() for x in ids]

@@ -12,13 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import SparkSession
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are expanded to arrays at once; one longer document makes a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch; Spark's own number of whole texts takes several times the memory.
+BATCH_ROWS = 1000
 
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -97,6 +100,13 @@ class Words:
         return np.arange(len(of)) - shift[of] + self.first[of], of
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches at BATCH_ROWS, unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, with null as empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.llm import _text as tx
+
 _TOKEN = re.compile(r"[^\W_]+")
 #: Characters of test items that go to the executors at once; more make further blocks, each with a scan of its own.
 BLOCK_CHARS = 8_000_000
@@ -134,6 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     have ``rate`` * L edits (none below ``least`` characters); its best match gives the distance and the span, in code
     points of the original text. Null or empty items and texts match nothing; repeated items are reported each.
     """
+    tx.small_batches(docs.sparkSession)
     out = None
     for block in _blocks(items.select(F.col(item_id).cast("long"), F.col(item_text)).toLocalIterator(prefetchPartitions=True), block_chars):
 
@@ -164,6 +167,7 @@ def _blocks(rows, most: int) -> Iterator[list[tuple[int, str]]]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, least: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no test item; nothing is shuffled."""
+    tx.small_batches(docs.sparkSession)
     for block in _blocks(items.select(F.col(item_id).cast("long"), F.col(item_text)).toLocalIterator(prefetchPartitions=True), block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

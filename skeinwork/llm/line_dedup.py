@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.llm import _text as tx
+
 KEYS = "h1 long, h2 long, id long"
 
 
@@ -50,6 +52,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for a key. A row with a null id belongs to no document: it is returned unchanged and is not counted.
     Rows that share an id count as one document. Other columns pass through, whatever their names.
     """
+    tx.small_batches(docs.sparkSession)
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

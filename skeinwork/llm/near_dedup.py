@@ -196,6 +196,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probability (1 - 0.8**6)**53 = 1e-7.
     """
     spark = docs.sparkSession
+    tx.small_batches(spark)
     store, m, similarity = Store(spark), bands * band_rows, percent / 100
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
     all_docs = store.put(_sketches(small, shingle_words, m), "sketches")

@@ -26,8 +26,8 @@ from skeinwork.llm._store import Store
 
 #: Bytes of token ids in a shard, on average.
 SHARD_BYTES = 3_000_000
-#: Pieces of text whose ids a worker remembers, also from one task to the next (some 130 MB).
-CACHE_PIECES = 800_000
+#: Pieces of text whose ids a worker remembers, also from one task to the next (some 90 MB).
+CACHE_PIECES = 500_000
 #: Terms of a seed that are looked up: those of the greatest weight.
 QUERY_TERMS = 48
 K1, B = 1.2, 0.75
@@ -61,8 +61,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        about = json.loads(self.tokenizer.to_str())
+        self.path, self._whole = path, None
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
         self.known: dict[str, bytes] = {}
         end = about["model"].get("end_of_word_suffix")
         steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
@@ -71,10 +72,19 @@ class Encoder:
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = normalizers.Sequence([])
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            vocabulary = self.bare.get_vocab(with_added_tokens=True)
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
 
+    @property
+    def tokenizer(self):
+        """The tokenizer as it is, read when it is first needed."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _pieces(self, text: str) -> list[str]:
         if "<|" not in text if text.isascii() else not _ODD.search(text):
             return _PIECES.findall(text.lower())
@@ -84,7 +94,8 @@ class Encoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        for w, e in zip(odd := [w for w in new if _ODD.search(w)], self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+        odd = [w for w in new if _ODD.search(w)]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         plain = [w for w in new if w not in self.known]
         for at in range(0, len(plain), 10_000):
@@ -225,6 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     empty. Each id lies in one piece. Rows that share an id are documents of their own; a null id stays null. ``ids``
     are the piece's ids. An empty table gives no rows.
     """
+    tx.small_batches(docs.sparkSession)
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,6 +136,7 @@ def fit(begin: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndar
 
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = 6000) -> Machine:
     """A machine from at most ``limit`` labelled documents (a fixed sample of ``labels``, whose fold the caller chose)."""
+    tx.small_batches(docs.sparkSession)
     rows = sample(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("y")), id_col, limit)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

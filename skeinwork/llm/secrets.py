@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.llm import _text as tx
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -164,6 +166,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             lists = [[[{"kind": KINDS[k], "start": a, "end": e} for a, k, e in x[j]] for x in both] for j in range(2)]
             yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, pa.int64()) for c in count], *[pa.array(x, kind) for x in lists]], names=["id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
+    tx.small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -105,6 +105,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document. Null text has no words. ``id_col`` must be unique; a row with a null id takes no part and keeps its
     words. Other columns of the input are ignored, whatever their names.
     """
+    tx.small_batches(docs.sparkSession)
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     text = F.coalesce(F.col("body"), F.lit(""))
     # One filter and one name for all branches below, so that they share one exchange of the texts.

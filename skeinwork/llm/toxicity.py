@@ -134,6 +134,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     An entry's log-likelihood ratio against chance must exceed the logarithm of the number of entries by ``evidence``. At most ``4 * most`` counted entries reach the
     driver, the best first, and at most ``most`` make the lexicon. Without labels the lexicon is empty.
     """
+    tx.small_batches(docs.sparkSession)
     rows = sample(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("y")), id_col, limit)
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(rows, id_col).select("text", "y").persist()
     try:

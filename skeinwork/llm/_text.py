@@ -112,13 +112,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about CHUNK_BYTES of text, and their texts as bytes."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``most`` bytes of text, and their texts as bytes."""
     for batch in batches:
         at, size = 0, 0
         lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
-            if size and size + n > CHUNK_BYTES:
+            if size and size + n > most:
                 yield (part := batch.slice(at, i - at)), text_bytes(part.column(column))
                 at, size = i, 0
             size += n + 1

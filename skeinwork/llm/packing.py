@@ -14,6 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from skeinwork.llm._store import Store
 
 #: Bytes of token ids in a shard, on average.
 SHARD_BYTES = 3_000_000
-#: Pieces of text whose ids a worker remembers, also from one task to the next (some 90 MB).
-CACHE_PIECES = 500_000
+#: Pieces of text whose ids a worker remembers, also from one task to the next (some 110 MB).
+CACHE_PIECES = 700_000
 #: Terms of a seed that are looked up: those of the greatest weight.
 QUERY_TERMS = 48
 K1, B = 1.2, 0.75
@@ -109,8 +110,8 @@ class Encoder:
         if not self.split:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         pieces = [self._pieces(t.decode()) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
+        if len(self.known) > CACHE_PIECES:  # the pieces met first are the most frequent ones
+            self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
         self._learn(list(set().union(*pieces).difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
@@ -241,7 +242,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for part, texts in tx.chunks(batches):
+        for part, texts in tx.chunks(batches, most=2 * tx.CHUNK_BYTES):
             ids = [np.frombuffer(x, dtype="<u4") for x in own.encode(texts)]
             # Two bytes an id are enough for a vocabulary of up to 65,536.
             wide = any(len(x) and x.max() > 0xFFFF for x in ids)

@@ -3,7 +3,7 @@
 A text and every layer that can be unwrapped from it are scanned for the same kinds of secrets. Percent escapes and
 Unicode escapes are replaced in the whole layer, with a map from each new character to the span it came from; base64
 runs and compressed data become layers whose every character maps to the run. Layers go on a worklist until none
-is new; a layer whose text was seen before is not taken again, which ends cycles.
+is new; one is known by its text and its map, so equal texts at other places count, and cycles end.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,33 +65,43 @@ def _printable(data: bytes) -> str | None:
 
 
 class _Layer:
-    """Text whose character i comes from starts[i]:ends[i] of the original; without lists, from one span or as it is."""
+    """Text whose character i comes from starts[i]:ends[i] of the original; without lists, it is the original."""
 
-    __slots__ = ("ends", "span", "starts", "text")
+    __slots__ = ("ends", "starts", "text")
 
-    def __init__(self, text: str, span: tuple[int, int] | None = None, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.span, self.starts, self.ends = text, span, starts, ends
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+        self.text, self.starts, self.ends = text, starts, ends
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if self.span:
-            return self.span
         return (self.starts[start], self.ends[end - 1]) if self.starts is not None else (start, end)
 
     def replaced(self, parts: list[tuple[int, int, str]]) -> _Layer:
         """With the spans of ``parts`` replaced by their texts."""
-        out, starts, ends, last = [], [], [], 0
+        starts, ends, last = [], [], 0
         for a, b, text in [*parts, (len(self.text), len(self.text), "")]:
-            out += [self.text[last:a], text]
-            if not self.span:
-                kept = range(last, a)
-                starts += kept if self.starts is None else self.starts[last:a]
-                ends += range(last + 1, a + 1) if self.ends is None else self.ends[last:a]
-                if text:
-                    lo, hi = self.origin(a, b)
-                    starts += [lo] * len(text)
-                    ends += [hi] * len(text)
+            starts += range(last, a) if self.starts is None else self.starts[last:a]
+            ends += range(last + 1, a + 1) if self.ends is None else self.ends[last:a]
+            if text:
+                lo, hi = self.origin(a, b)
+                starts += [lo] * len(text)
+                ends += [hi] * len(text)
             last = b
-        return _Layer("".join(out), self.span, None if self.span else starts, None if self.span else ends)
+        return _Layer(_replaced(self.text, parts), starts, ends)
+
+    def key(self) -> tuple[bytes, bytes]:
+        return _digest(self.text), hashlib.blake2b(np.array([self.starts, self.ends]).tobytes(), digest_size=16).digest()
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _replaced(text: str, parts: list[tuple[int, int, str]]) -> str:
+    out, last = [], 0
+    for a, b, new in parts:
+        out += [text[last:a], new]
+        last = b
+    return "".join([*out, text[last:]])
 
 
 def _escapes(m: re.Match) -> str:
@@ -105,20 +116,22 @@ def _escapes(m: re.Match) -> str:
         return m[0]
 
 
-def layers(layer: _Layer) -> Iterator[_Layer]:
-    """What can be unwrapped from one layer by one step."""
-    text = layer.text
+def replacements(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """Escapes of one kind with their spans and what they stand for."""
     if "%" in text and (found := list(_PERCENT.finditer(text))):
-        raw = [(m, bytes.fromhex(m[0].replace("%", ""))) for m in found]
-        yield layer.replaced([(*m.span(), data.decode("utf-8", "replace")) for m, data in raw])
-        for m, data in raw:
-            if inner := _unpacked(data):
-                yield _Layer(inner, layer.origin(*m.span()))
+        yield [(*m.span(), bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")) for m in found]
     if ("\\" in text or "&#" in text) and (found := list(_UNICODE.finditer(text))):
-        yield layer.replaced([(*m.span(), _escapes(m)) for m in found])
-        for m in found:
-            if m[4] and (inner := _unpacked(bytes.fromhex(m[4].replace("\\x", "")))):
-                yield _Layer(inner, layer.origin(*m.span()))
+        yield [(*m.span(), _escapes(m)) for m in found]
+
+
+def embedded(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans of encoded data and what they hold."""
+    for m in _PERCENT.finditer(text) if "%" in text else ():
+        if inner := _unpacked(bytes.fromhex(m[0].replace("%", ""))):
+            yield *m.span(), inner
+    for m in _UNICODE.finditer(text) if "\\" in text else ():
+        if m[4] and (inner := _unpacked(bytes.fromhex(m[4].replace("\\x", "")))):
+            yield *m.span(), inner
     for m in _BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
@@ -128,17 +141,44 @@ def layers(layer: _Layer) -> Iterator[_Layer]:
         except binascii.Error:
             continue
         if (inner := _unpacked(data) or _printable(data)) is not None:
-            yield _Layer(inner, layer.origin(*m.span()))
+            yield *m.span(), inner
+
+
+def layers(text: str) -> Iterator[str]:
+    """What can be unwrapped from an embedded text by one step."""
+    yield from (_replaced(text, parts) for parts in replacements(text))
+    yield from (inner for _, _, inner in embedded(text))
+
+
+def kinds_within(text: str, known: dict[bytes, set[int]]) -> set[int]:
+    """Kinds of the secrets in an embedded text and all its layers; all of them stand at one place, so kinds are enough."""
+    key = _digest(text)
+    if key not in known:
+        out, seen, work = {kind for _, kind, _ in scan(text)}, {key}, [layers(text)]
+        while work and len(out) < len(KINDS):
+            inner = next(work[-1], None)
+            if inner is None:
+                work.pop()
+            elif (k := _digest(inner)) not in seen:
+                seen.add(k)
+                out.update(kind for _, kind, _ in scan(inner))
+                work.append(layers(inner))
+        known[key] = out
+    return known[key]
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans, as sorted (start, kind's number, end)."""
     base = scan(text)
-    found, seen, work = set(base), set(), [_Layer(text)]
+    found, seen, known, work = set(base), set(), {}, [_Layer(text)]
     while work:
-        for inner in layers(work.pop()):
-            key = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if inner.text == text or key in seen:
+        layer = work.pop()
+        for a, b, inner in embedded(layer.text):
+            lo, hi = layer.origin(a, b)
+            found.update((lo, kind, hi) for kind in kinds_within(inner, known))
+        for parts in replacements(layer.text):
+            inner = layer.replaced(parts)
+            if inner.text == layer.text or (key := inner.key()) in seen:
                 continue
             seen.add(key)
             for a, kind, b in scan(inner.text):

@@ -136,3 +136,18 @@ def test_scan_edge_cases(spark):
     got = secret_scan(docs).collect()
     assert [(r.doc_id, r.n_assign, len(r.spans)) for r in got] == [(1, 0, 0), (2, 0, 0), (2, 1, 1), (None, 0, 0), (4, 0, 0)]
     assert secret_scan(docs.limit(0)).count() == 0 and joined([(1, 0, 5), (1, 2, 9)]) == "assign:1:5,hex:1:9"
+
+
+def places(text, *parts):
+    """Whether each part's span is reported."""
+    every = [(a, b) for a, _, b in find_secrets(text)[1]]
+    return [any(a <= text.index(p) and text.index(p) + len(p) <= b for a, b in every) for p in parts]
+
+
+def test_the_same_secret_at_each_of_its_places():
+    plain, packed = base64.b64encode(SECRET.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    text = f"a {plain} b {packed} c {plain} d {urllib.parse.quote(packed, safe='')}"
+    again = text.rindex(plain)
+    assert places(text, plain, packed) == [True, True]
+    assert (again, 0, again + len(plain)) in find_secrets(text)[1]
+    assert any(a >= text.index(" d ") for a, _, _ in find_secrets(text)[1])

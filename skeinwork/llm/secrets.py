@@ -9,7 +9,6 @@ is new; one is known by its text and its map, so equal texts at other places cou
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -31,6 +30,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)|&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 wrapped over lines, which may be indented or be escaped line ends. A short last piece must end its line.
+_WRAP = re.compile(r"(?:\r?\n[ \t]*|(?:\\r)?\\n)")
+_WRAPPED = re.compile(rf"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_WRAP.pattern}(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]++(?=[=\r\\"'<>)\]}},;]|[ \t]*(?:\n|\Z))))+={{0,2}}""")
+#: Beginnings of gzip and of the usual zlib data.
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 #: Bytes that one compressed layer may expand to; beyond it a layer is scanned as far as it was unpacked.
 MAX_UNPACKED = 16_000_000
 
@@ -44,24 +48,32 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _unpacked(data: bytes) -> str | None:
-    """Text of gzip or zlib data."""
+def _unpacked(data: bytes) -> bytes | None:
+    """What gzip or zlib data holds."""
     for wbits, ok in ((31, data[:2] == b"\x1f\x8b"), (15, len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)):
         if ok:
             try:
                 if out := zlib.decompressobj(wbits).decompress(data, MAX_UNPACKED):
-                    return out.decode("utf-8", "replace")
+                    return out
             except zlib.error:
                 pass
     return None
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) == len(text) else None
+def _texts(data: bytes) -> Iterator[str]:
+    """Bytes as UTF-8, and as UTF-16 of both orders if they hold a NUL. What is no text gives other characters."""
+    yield data.decode("utf-8", "replace")
+    if b"\0" in data:
+        yield data.decode("utf-16-le", "replace")
+        yield data.decode("utf-16-be", "replace")
+
+
+def contents(data: bytes) -> Iterator[str]:
+    """Texts that decoded bytes hold, as they are and unpacked; compressed data may stand behind other bytes."""
+    yield from _texts(data)
+    for at in sorted({0, *(m.start() for m in _PACKED.finditer(data))}):
+        if (inner := _unpacked(data[at:])) is not None:
+            yield from _texts(inner)
 
 
 class _Layer:
@@ -127,21 +139,19 @@ def replacements(text: str) -> Iterator[list[tuple[int, int, str]]]:
 def embedded(text: str) -> Iterator[tuple[int, int, str]]:
     """Spans of encoded data and what they hold."""
     for m in _PERCENT.finditer(text) if "%" in text else ():
-        if inner := _unpacked(bytes.fromhex(m[0].replace("%", ""))):
-            yield *m.span(), inner
+        yield from ((*m.span(), inner) for inner in contents(bytes.fromhex(m[0].replace("%", ""))))
     for m in _UNICODE.finditer(text) if "\\" in text else ():
-        if m[4] and (inner := _unpacked(bytes.fromhex(m[4].replace("\\x", "")))):
-            yield *m.span(), inner
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        if (inner := _unpacked(data) or _printable(data)) is not None:
-            yield *m.span(), inner
+        if m[4]:
+            yield from ((*m.span(), inner) for inner in contents(bytes.fromhex(m[4].replace("\\x", ""))))
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(text):
+            run = _WRAP.sub("", m[0]) if pattern is _WRAPPED else m[0]
+            body = run.rstrip("=").replace("-", "+").replace("_", "/")
+            # Other text may stand before the data with no sign between, so it can begin at any of four offsets.
+            for at in range(4):
+                part = body[at : len(body) - ((len(body) - at) % 4 == 1)]
+                data = base64.b64decode(part + "=" * (-len(part) % 4))
+                yield from ((*m.span(), inner) for inner in contents(data))
 
 
 def layers(text: str) -> Iterator[str]:

@@ -151,3 +151,39 @@ def test_the_same_secret_at_each_of_its_places():
     assert places(text, plain, packed) == [True, True]
     assert (again, 0, again + len(plain)) in find_secrets(text)[1]
     assert any(a >= text.index(" d ") for a, _, _ in find_secrets(text)[1])
+
+
+def wrapped(data, width=64, end="\n"):
+    b = base64.b64encode(data).decode()
+    return end.join(b[i : i + width] for i in range(0, len(b), width))
+
+
+@pytest.mark.parametrize("data", [f"\u00a0{SECRET}".encode(), f"\ufeff{SECRET}\u200b".encode(), f"{SECRET}\x1b\0".encode(), SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), f"\xff {SECRET}".encode("latin-1")])
+def test_base64_of_more_than_printable_text(data):
+    text = base64.b64encode(data).decode()
+    assert places(f"x {text} y", text) == [True]
+    text = base64.b64encode(gzip.compress(data)).decode()
+    assert places(f"x {text} y", text) == [True]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n"])
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_base64(width, end):
+    noise = "".join(random.Random(3).choices("abcdefghij klm", k=400))
+    # Across the first wrap, the later lines of compressed data, and a text shorter than two lines.
+    for data in ((noise[: width // 4 * 3 - 12] + SECRET + noise).encode(), gzip.compress((noise + SECRET).encode()), zlib.compress((noise + SECRET).encode()), (noise[: width // 4 * 3 - 12] + SECRET.strip()).encode()):
+        text = wrapped(data, width, end)
+        assert end in text and places(f"x:\n{text}\ny", text) == [True]
+
+
+@pytest.mark.parametrize("before", ["a", "ab", "abc", "abcd", "path/", "id-", "some_name_"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_base64_joined_to_other_text(before, pack):
+    text = before + base64.urlsafe_b64encode(pack(SECRET.encode())).decode().rstrip("=")
+    assert places(f"x {text} y", text) == [True] and places(f"x {text}-tail/", text) == [True]
+
+
+def test_words_on_lines_of_their_own_are_not_secrets():
+    text = base64.b64encode(SECRET.encode()).decode().rstrip("=")
+    every = find_secrets(f"one\n{text}\nThe next line of prose")[1]
+    assert {(a, b) for a, _, b in every} == {(4, 4 + len(text))}

@@ -9,10 +9,11 @@ is new; one is known by its text and its map, so equal texts at other places cou
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ _WRAP = re.compile(r"(?:\r?\n[ \t]*|(?:\\r)?\\n)")
 _WRAPPED = re.compile(rf"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_WRAP.pattern}(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]++(?=[=\r\\"'<>)\]}},;]|[ \t]*(?:\n|\Z))))+={{0,2}}""")
 #: Beginnings of gzip and of the usual zlib data.
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
-#: Bytes that one compressed layer may expand to; beyond it a layer is scanned as far as it was unpacked.
-MAX_UNPACKED = 16_000_000
+#: Bytes that are unpacked at a time, and characters from which unpacked text is scanned in parts.
+CHUNK, SEGMENT = 1 << 20, 1 << 22
+#: Up to the last character that is in no secret and no encoded data.
+_LAST_APART = re.compile(r"""(?s).*[^A-Za-z0-9+/_=.\-%\\&#;{}"':\s]""")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -48,32 +51,71 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What gzip or zlib data holds."""
-    for wbits, ok in ((31, data[:2] == b"\x1f\x8b"), (15, len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)):
-        if ok:
-            try:
-                if out := zlib.decompressobj(wbits).decompress(data, MAX_UNPACKED):
-                    return out
-            except zlib.error:
-                pass
-    return None
+def _wbits(head: bytes) -> int:
+    """zlib's number for gzip or zlib data by its first bytes; 0 for other data."""
+    if head == b"\x1f\x8b":
+        return 31
+    return 15 if len(head) == 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0 else 0
 
 
-def _texts(data: bytes) -> Iterator[str]:
+def _unpacked(data: bytes, at: int, reach: list[int]) -> Iterator[bytes]:
+    """What gzip or zlib data at ``at`` holds, in chunks; members that follow each other, or zeros, are one text.
+
+    ``reach`` gets the end of the last member that is whole.
+    """
+    rest = data[at:]
+    while wbits := _wbits(rest[:2]):
+        unpack = zlib.decompressobj(wbits)
+        try:
+            while not unpack.eof:
+                out = unpack.decompress(rest, CHUNK)
+                rest = unpack.unconsumed_tail
+                if not out and not unpack.eof:
+                    return
+                yield out
+        except zlib.error:
+            return
+        reach[0] = len(data) - len(unpack.unused_data)
+        rest = unpack.unused_data.lstrip(b"\0")
+
+
+def _segments(chunks: Iterator[bytes], encoding: str) -> Iterator[str]:
+    """The text of the chunks in parts, cut only behind characters that nothing looked for can contain."""
+    decoder, held, size = codecs.getincrementaldecoder(encoding)("replace"), [], 0
+    for chunk in chunks:
+        new = decoder.decode(chunk)
+        if size + len(new) >= SEGMENT and (m := _LAST_APART.match(new)):
+            yield "".join([*held, new[: m.end()]])
+            held, size, new = [], 0, new[m.end() :]
+        held.append(new)
+        size += len(new)
+    if text := "".join([*held, decoder.decode(b"", True)]):
+        yield text
+
+
+def _texts(chunks: Callable[[], Iterator[bytes]]) -> Iterator[str]:
     """Bytes as UTF-8, and as UTF-16 of both orders if they hold a NUL. What is no text gives other characters."""
-    yield data.decode("utf-8", "replace")
-    if b"\0" in data:
-        yield data.decode("utf-16-le", "replace")
-        yield data.decode("utf-16-be", "replace")
+    nul = False
+
+    def watched() -> Iterator[bytes]:
+        nonlocal nul
+        for chunk in chunks():
+            nul = nul or b"\0" in chunk
+            yield chunk
+
+    yield from _segments(watched(), "utf-8")
+    if nul:
+        yield from _segments(chunks(), "utf-16-le")
+        yield from _segments(chunks(), "utf-16-be")
 
 
 def contents(data: bytes) -> Iterator[str]:
     """Texts that decoded bytes hold, as they are and unpacked; compressed data may stand behind other bytes."""
-    yield from _texts(data)
+    yield from _texts(lambda: iter((data,)))
+    reach = [0]
     for at in sorted({0, *(m.start() for m in _PACKED.finditer(data))}):
-        if (inner := _unpacked(data[at:])) is not None:
-            yield from _texts(inner)
+        if at >= reach[0]:
+            yield from _texts(lambda at=at: _unpacked(data, at, reach))
 
 
 class _Layer:

@@ -8,6 +8,7 @@ import zlib
 import pytest
 
 from skeinwork.llm.decontaminate import Matcher, budget, contaminated, decontaminate, myers, normalise, pieces, positions
+from skeinwork.llm import secrets
 from skeinwork.llm.secrets import KINDS, find_secrets, joined, secret_scan
 
 SECRET = 'password="hunter2secret" x '
@@ -187,3 +188,25 @@ def test_words_on_lines_of_their_own_are_not_secrets():
     text = base64.b64encode(SECRET.encode()).decode().rstrip("=")
     every = find_secrets(f"one\n{text}\nThe next line of prose")[1]
     assert {(a, b) for a, _, b in every} == {(4, 4 + len(text))}
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress])
+def test_compressed_data_to_its_end(pack):
+    long = base64.b64encode(pack(b"word, " * 3_000_000 + SECRET.encode())).decode()
+    members = base64.b64encode(b"".join(pack(x) for x in (b"one ", b"two pass", SECRET[4:].encode()))).decode()
+    padded = base64.b64encode(pack(b"one") + bytes(5) + pack(SECRET.encode())).decode()
+    for text in (long, members, padded):
+        assert places(f"x {text} y", text) == [True]
+
+
+def test_parts_find_what_the_whole_text_has(monkeypatch):
+    r = random.Random(4)
+    deep = base64.b64encode(base64.b64encode(SECRET.encode())).decode()
+    for _ in range(60):
+        data = "".join(r.choice(["word, ", "a b ", "(x)", "é", "\n", "%70assword=abcdefg", deep, "token = 'abcdefgh'", "AKIA" + "B" * 16, "0123456789abcdef" * 3]) for _ in range(r.randint(1, 12)))
+        text = base64.b64encode(gzip.compress(data.encode())).decode()
+        whole = find_secrets(text)
+        monkeypatch.setattr(secrets, "CHUNK", r.randint(1, 20))
+        monkeypatch.setattr(secrets, "SEGMENT", r.randint(1, 30))
+        assert find_secrets(text) == whole
+        monkeypatch.undo()

@@ -29,8 +29,6 @@ from skeinwork.llm._store import Store
 SHARD_BYTES = 3_000_000
 #: Pieces of text whose ids a worker remembers, also from one task to the next (some 110 MB).
 CACHE_PIECES = 700_000
-#: Terms of a seed that are looked up: those of the greatest weight.
-QUERY_TERMS = 48
 K1, B = 1.2, 0.75
 END = 1
 
@@ -135,27 +133,37 @@ class Index:
         sizes = np.array([len(d) for d in docs])
         of = np.repeat(np.arange(n), sizes)
         key, tf = np.unique((of.astype(np.int64) << 32) | np.concatenate(docs).astype(np.int64), return_counts=True)
-        self.doc, self.term = key >> 32, key & 0xFFFFFFFF
-        self.begin = np.searchsorted(self.doc, np.arange(n + 1))
+        del of
+        doc, self.term = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.uint32)
+        del key
+        self.begin = np.searchsorted(doc, np.arange(n + 1))
         self.df = np.bincount(self.term)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
         order = np.argsort(self.term, kind="stable")
-        self.at = np.searchsorted(self.term[order], np.arange(len(self.df) + 1))
-        self.post_doc, self.post_weight = self.doc[order], self.weight[order]
+        self.at = np.concatenate([[0], np.cumsum(self.df)])
+        self.post_doc, tf = doc[order], tf[order]
+        self.post_weight = idf[self.term[order]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.post_doc] / mean))
         self.n = n
-
-    def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties to the smaller number."""
-        a, b = self.begin[seed], self.begin[seed + 1]
-        terms = self.term[a:b]
-        if b - a > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        # A term of most documents tells nothing and would make the lookup as long as the shard.
-        terms = terms[(self.df[terms] > 1) & (self.df[terms] <= max(8, self.n // 3))]
-        if not len(terms):
-            return terms
-        spans = [slice(self.at[t], self.at[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
+        # Terms of over a quarter of the documents are added as whole rows: at most four cells a posting.
+        self.rows = {}
+        for t in np.flatnonzero(self.df > max(8, n // 4)):
+            self.rows[int(t)] = row = np.zeros(n)
+            row[self.post_doc[self.at[t] : self.at[t + 1]]] = self.post_weight[self.at[t] : self.at[t + 1]]
+
+    def neighbours(self, seed: int, used: np.ndarray, most: int = 64, common: int | None = None) -> np.ndarray:
+        """Unused documents that share a query term with the seed, best first, ties to the smaller number.
+
+        Terms of more than ``common`` documents are not looked up; without it, those of a third, if more than 8.
+        """
+        terms = self.term[self.begin[seed] : self.begin[seed + 1]]
+        # A term of one document is the seed's own.
+        terms = terms[(self.df[terms] > 1) & (self.df[terms] <= (max(8, self.n // 3) if common is None else common))].tolist()
+        if not terms:
+            return np.zeros(0, dtype=np.int64)
+        spans = [slice(self.at[t], self.at[t + 1]) for t in terms if t not in self.rows]
+        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n) if spans else np.zeros(self.n)
+        for t in terms:
+            if t in self.rows:
+                score += self.rows[t]
         score[used] = 0
         top = np.argpartition(-score, min(most, self.n - 1))[:most]
         top = top[score[top] > 0]
@@ -171,7 +179,7 @@ def order(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) ->
     for _ in range(len(docs)):
         take = next((int(d) for d in queue if not used[d]), None)
         if take is None and seed is not None:
-            queue = iter(index.neighbours(seed, used))
+            queue = iter(index.neighbours(seed, used, common=len(docs)))
             take = next((int(d) for d in queue if not used[d]), None)
         if take is None:
             while used[following]:

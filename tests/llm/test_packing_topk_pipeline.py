@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from skeinwork.llm import topk
-from skeinwork.llm.packing import Encoder, Index, _statistics, pack, pack_documents
+from skeinwork.llm.packing import Encoder, Index, _statistics, order, pack, pack_documents
 from skeinwork.llm.topk import top_k
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -88,6 +88,32 @@ def test_neighbours_against_plain_bm25():
     assert sorted(got) == sorted(want) and score[got].tolist() == pytest.approx(score[want].tolist())
 
 
+def test_rare_terms_of_its_own_do_not_hide_a_seeds_neighbour():
+    docs = [np.arange(1000 + 100 * d, 1060 + 100 * d) for d in range(8)]
+    docs[0], docs[5] = np.append(docs[0], np.arange(20)), np.append(docs[5], np.arange(20))
+    idf = np.full(2000, 9.0)
+    idf[:20] = 5.0
+    assert list(order(docs, 10_000, idf, 65.0))[:2] == [0, 5]
+
+
+def test_copies_that_make_up_half_a_shard_are_neighbours():
+    docs = [np.arange(30) if d % 2 == 0 else np.arange(100 * d, 100 * d + 30) for d in range(40)]
+    assert list(order(docs, 10_000, np.ones(4000), 30.0))[:20] == list(range(0, 40, 2))
+
+
+def test_all_terms_against_plain_bm25():
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, 60, r.integers(5, 120)) for _ in range(50)]
+    idf, mean = r.random(60) + 0.1, np.mean([len(d) for d in docs])
+    index, used = Index(docs, idf, mean), np.zeros(50, dtype=bool)
+    for seed in range(50):
+        score = np.array([sum(idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[seed].tolist()) if (tf := (d == t).sum())) for d in docs])
+        score[seed] = 0
+        used[:] = np.arange(50) == seed
+        got = index.neighbours(seed, used, most=50, common=50)
+        assert sorted(got) == np.flatnonzero(score).tolist() and score[got].tolist() == pytest.approx(sorted(score[got], reverse=True))
+
+
 def test_pack_documents(spark, tokenizer):
     r = random.Random(0)
     texts = [" ".join(r.choices(["alpha", "Beta", "gamma,", "δelta"], k=r.randint(0, 900))) for _ in range(40)]

@@ -69,8 +69,8 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, n:
     return vs.top_n(scored, n)
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, n: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = 1.2, seed: int = 42) -> DataFrame:
-    """Cosine neighbours by bucketed random projections of unit vectors: candidates share a bucket and lie within ``radius``."""
+def lsh_search(vectors: DataFrame, queries: DataFrame, n: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = math.inf, seed: int = 42) -> DataFrame:
+    """Cosine neighbours by bucketed random projections of unit vectors: candidates share a bucket and lie within ``radius``, anywhere by default."""
     unit = lambda df: df.withColumn("vector", F.transform("vector", lambda x: x / F.col("norm"))).withColumn("features", array_to_vector("vector"))
     v, q = unit(prepared(vectors)), unit(prepared(queries))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)

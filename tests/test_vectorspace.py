@@ -101,6 +101,23 @@ def test_approximate_search_finds_neighbours(spark):
     assert ann.ivf_lists(500) == 1 and ann.ivf_lists(20_000) == 20 and ann.ivf_lists(4_000_000) == 2000
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_lsh_finds_nine_tenths_on_the_tables(spark, sf):
+    import numpy as np
+
+    from skeinwork.queries import ann_lsh
+
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding").collect())
+    x = np.array([e for _, e in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann_lsh(spark, f"/root/testdata/sf{sf}").collect():
+        found.setdefault(r.query_id, set()).add(r.chunk_id)
+    asked = [k for k, (i, _) in enumerate(rows) if i % 50 == 0]
+    shares = [len(found[rows[k][0] + 1] & {rows[j][0] + 1 for j in np.argsort(-(x @ x[k]), kind="stable")[:10]}) / 10 for k in asked]
+    assert np.mean(shares) >= 0.9 and all(len(f) == 10 for f in found.values())
+
+
 def test_precision_drops_the_query_itself(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, category string")
     results = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "query_id long, doc_id long, rank int")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skeinwork.functions.text import strip
 
 MIN_WORDS = 30
-#: Documents of consecutive ids whose chunks are numbered together.
-ID_RANGE = 65_536
+#: Ranges of ids whose chunks are numbered on their own; their totals are summed in one task.
+RANGES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -17,35 +17,60 @@ def word_count(text: Column) -> Column:
     return F.when(flat == "", 0).otherwise(F.size(F.split(flat, r"\s+")))
 
 
-def chunks(body: Column, separator: str = r"\n\n+", min_words: int = MIN_WORDS) -> Column:
-    """Paragraphs, joined by a space until a chunk has ``min_words``; what is left at the end is dropped."""
-    paragraphs = F.filter(F.transform(F.split(strip(body), separator), strip), lambda p: p != "")
-    empty = F.struct(F.lit("").alias("buffer"), F.array().cast("array<string>").alias("done"))
+def paragraphs(body: Column, separator: str = r"\n\n+") -> Column:
+    """Stripped paragraphs with their numbers of words, ``array<struct<text, words>>``; empty ones are left out."""
+    parts = F.filter(F.transform(F.split(strip(body), separator), strip), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(p.alias("text"), F.size(F.split(p, r"\s+")).alias("words")))
 
-    def step(acc: Column, paragraph: Column) -> Column:
-        text = F.when(acc["buffer"] == "", paragraph).otherwise(F.concat_ws(" ", acc["buffer"], paragraph))
-        full = word_count(text) >= min_words
-        return F.struct(F.when(full, "").otherwise(text).alias("buffer"), F.when(full, F.array_append(acc["done"], text)).otherwise(acc["done"]).alias("done"))
 
-    return F.aggregate(paragraphs, empty, step, lambda acc: acc["done"])
+def joined(parts: Column, min_words: int = MIN_WORDS) -> Column:
+    """Paragraphs joined by a space until a chunk has ``min_words``, ``array<struct<content, word_count>>``.
+
+    What is left at the end is dropped. The walk only adds up numbers; texts are joined once, from slices.
+    """
+    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("begin"), F.lit(0).alias("words"), F.array().cast("array<struct<begin:int,size:int,words:int>>").alias("done"))
+
+    def step(acc: Column, part: Column) -> Column:
+        words, after = acc["words"] + part["words"], acc["at"] + 1
+        full = words >= min_words
+        chunk = F.struct(acc["begin"].alias("begin"), (after - acc["begin"]).alias("size"), words.alias("words"))
+        return F.struct(
+            after.alias("at"), F.when(full, after).otherwise(acc["begin"]).alias("begin"), F.when(full, 0).otherwise(words).alias("words"),
+            F.when(full, F.array_append(acc["done"], chunk)).otherwise(acc["done"]).alias("done"),
+        )
+
+    cuts = F.aggregate(parts, empty, step, lambda acc: acc["done"])
+    return F.transform(cuts, lambda c: F.struct(F.array_join(F.slice(parts, c["begin"] + 1, c["size"])["text"], " ").alias("content"), c["words"].alias("word_count")))
 
 
-def numbered(rows: DataFrame, list_col: str, id_col: str = "doc_id") -> DataFrame:
-    """Explode a list and number its elements from 1 by (``id_col``, position), as ``chunk_id``, ``position``, ``content``.
+def listed(docs: DataFrame, separator: str = r"\n\n+", min_words: int = MIN_WORDS, body: str = "body") -> DataFrame:
+    """``docs`` with ``chunks``, the list of each document's chunks, instead of the body."""
+    keep = [c for c in docs.columns if c != body]
+    return docs.withColumn("__parts", paragraphs(F.col(body), separator)).select(*keep, joined(F.col("__parts"), min_words).alias("chunks"))
 
-    Offsets come from two levels of prefix sums: over ranges of ids, of which there are few, and within each range.
-    So the rows themselves never meet in one partition.
+
+def offsets(sizes: DataFrame) -> DataFrame:
+    """``sizes(doc_id, n)``, one row a document, to ``(doc_id, offset)``: the chunks of all documents of smaller ids.
+
+    Only ids and numbers are shuffled. Prefix sums have two levels: over at most RANGES ranges of ids, whose width
+    follows from the smallest and the largest id, and within each range.
     """
-    sized = rows.withColumn("__n", F.size(list_col)).where("__n > 0").withColumn("__range", F.floor(F.col(id_col) / ID_RANGE))
+    bounds = sizes.agg(F.min("doc_id").alias("__lo"), (F.floor((F.max("doc_id") - F.min("doc_id")) / RANGES) + 1).alias("__width"))
+    placed = sizes.crossJoin(F.broadcast(bounds)).select("doc_id", "n", F.floor((F.col("doc_id") - F.col("__lo")) / F.col("__width")).alias("__range"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.groupBy("__range").agg(F.sum("__n").alias("__total")).select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy("__range").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.join(offsets, "__range").withColumn("__offset", F.col("__offset") + F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    keep = [c for c in rows.columns if c != list_col]
-    return placed.select(*keep, "__offset", F.posexplode(list_col).alias("position", "content")).select((F.col("__offset") + F.col("position") + 1).cast("long").alias("chunk_id"), *keep, F.col("position").cast("int").alias("position"), "content")
+    starts = placed.groupBy("__range").agg(F.sum("n").alias("__total")).select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(starts, "__range").select("doc_id", (F.col("__start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("offset"))
+
+
+def numbered(lists: DataFrame) -> DataFrame:
+    """``lists(doc_id, chunks)`` to one row a chunk, numbered from 1 by (doc_id, position); doc_id is unique."""
+    # Neither a filter on the lists nor an inner explode: both would be moved below, where the lists are made a second time.
+    places = offsets(lists.select("doc_id", F.size("chunks").alias("n")))
+    each = lists.join(places, "doc_id").select("doc_id", "offset", F.posexplode_outer("chunks").alias("position", "c")).where("position IS NOT NULL")
+    return each.select((F.col("offset") + F.col("position") + 1).cast("long").alias("chunk_id"), "doc_id", F.col("position").cast("int").alias("position"), F.col("c")["content"].alias("content"), F.col("c")["word_count"].alias("word_count"))
 
 
 def chunk_documents(docs: DataFrame, separator: str = r"\n\n+", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs(doc_id, body)`` to ``(chunk_id, doc_id, position, content, word_count)``."""
-    listed = docs.where(F.col("body").isNotNull()).select("doc_id", chunks(F.col("body"), separator, min_words).alias("chunks"))
-    return numbered(listed, "chunks").withColumn("word_count", word_count(F.col("content")).cast("int"))
+    """``docs(doc_id, body)`` to ``(chunk_id, doc_id, position, content, word_count)``; null bodies have no chunks."""
+    return numbered(listed(docs.where(F.col("body").isNotNull()).select("doc_id", "body"), separator, min_words))

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skeinwork.functions.analysis import analyse
-from skeinwork.functions.chunking import MIN_WORDS, chunks, word_count
+from skeinwork.functions.chunking import MIN_WORDS, listed
 from skeinwork.operators import vectorspace as vs
 
 
 def chunk_stream(docs: DataFrame, separator: str = r"\n\n+", min_words: int = MIN_WORDS) -> DataFrame:
     """A stream of documents to a stream of chunks; dense chunk ids need the whole table and are given by the next build."""
-    each = docs.where("body IS NOT NULL").select("doc_id", F.posexplode(chunks(F.col("body"), separator, min_words)).alias("position", "content"))
-    return each.withColumn("word_count", word_count(F.col("content")).cast("int"))
+    lists = listed(docs.where("body IS NOT NULL").select("doc_id", "body"), separator, min_words)
+    each = lists.select("doc_id", F.posexplode_outer("chunks").alias("position", "c")).where("position IS NOT NULL")
+    return each.select("doc_id", "position", F.col("c")["content"].alias("content"), F.col("c")["word_count"].alias("word_count"))
 
 
 def append_term_frequencies(docs: DataFrame, path: str, checkpoint: str, separator: str = r"\n\n+") -> StreamingQuery:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import analysis as an
 from skeinwork.functions import text as tf
-from skeinwork.functions.chunking import chunk_documents, chunks
+from skeinwork.functions.chunking import chunk_documents, listed
 
 
 def value(spark, column):
@@ -24,7 +24,34 @@ def plain_chunks(body, least=30):
 
 @pytest.mark.parametrize("body", ["", "  ", "a b", "w " * 29, "w " * 30, "w " * 20 + "\n\n" + "x " * 15 + "\n\n\n y", ("a\n\n" * 31) + "z " * 40])
 def test_chunks_match_plain_rule(spark, body):
-    assert value(spark, chunks(F.lit(body))) == plain_chunks(body)
+    got = listed(spark.createDataFrame([(1, body)], "doc_id long, body string")).first()["chunks"]
+    assert [c.content for c in got] == plain_chunks(body) and [c.word_count for c in got] == [len(c.split()) for c in plain_chunks(body)]
+
+
+def test_chunk_numbers_of_scattered_ids(spark):
+    ids = [-(10**15), -5, 0, 3, 4, 70_000, 2**40, 2**60]
+    docs = spark.createDataFrame([(i, "\n\n".join(["w " * 30] * (k % 3))) for k, i in enumerate(ids)], "doc_id long, body string")
+    got = [(r.chunk_id, r.doc_id, r.position) for r in chunk_documents(docs.repartition(4)).orderBy("chunk_id").collect()]
+    assert got == [(n + 1, i, p) for n, (i, p) in enumerate((i, p) for k, i in enumerate(ids) for p in range(k % 3))]
+    assert chunk_documents(docs.limit(0)).count() == 0
+
+
+def test_sql_stems_equal_python_stems():
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from skeinwork import porter_sql
+
+    r = random.Random(1)
+    ends = [*an._STEP2, *an._STEP3, *an._STEP4, "ed", "ing", "eed", "ied", "ies", "sses", "s", "y", "e", "ll", "at", "bl", "iz", "yy"]
+    words = {"".join(r.choices("abdelstyouigrnc", k=r.randint(1, 6))) + "".join(r.choices(ends, k=r.randint(0, 2))) for _ in range(20_000)} | set(an._IRREGULAR)
+    duck = duckdb.connect()
+    duck.register("v", pd.DataFrame({"term": sorted(words)}))
+    chain = porter_sql.steps("SELECT term FROM v")
+    got = dict(duck.execute(f"WITH {', '.join(f'{k} AS ({x})' for k, x in chain.items())} SELECT term, stem FROM stems").fetchall())
+    assert got == {w: an.porter(w) for w in words}
 
 
 def test_short_document_has_no_chunk_and_null_body_is_skipped(spark):

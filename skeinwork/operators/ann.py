@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.operators import vectorspace as vs
+from skeinwork.sources.tables import Versions
+
+#: Queries and vectors that meet in one task of an exact search: some 30 MB and 60 MB at 512 components.
+QUERY_BLOCK, VECTOR_BLOCK = 8192, 16_384
+#: Rows that lists are trained on, and rows that the number of probes is measured with.
+TRAINING_ROWS, TUNING_ROWS = 100_000, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,16 +39,60 @@ def prepared(vectors: DataFrame, vector_col: str = "vector") -> DataFrame:
     return vectors.withColumn(vector_col, F.col(vector_col).cast("array<double>")).withColumn("norm", length(F.col(vector_col))).where("norm > 0")
 
 
-def knn_cosine(vectors: DataFrame, queries: DataFrame, n: int = 10, pool: int = 16, max_id: int | None = None) -> DataFrame:
-    """``vectors(chunk_id, doc_id, vector)`` and ``queries(query_id, vector)``: n documents by cosine.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """``prepared`` vectors(chunk_id, doc_id, vector) and queries(query_id, vector): the n nearest chunks of each query by cosine.
 
-    The n * ``pool`` nearest chunks are kept first, then the best chunk of each document. Every query meets every
-    vector: queries are a stated set, and each vector's row is scanned once per batch of queries.
+    Both sides are dealt into blocks of bounded size, every query block meets every vector block in a task of its own,
+    and each of these keeps n rows a query. Vectors of one length only.
+    """
+    parts = lambda df, rows: max(1, -(-df.count() // rows))
+    n_q, n_v = parts(queries, QUERY_BLOCK), parts(vectors, VECTOR_BLOCK)
+    n_v = max(n_v, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * n_v))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    v = vectors.select("chunk_id", "doc_id", "vector", "norm", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v)).cast("int").alias("v"), every(n_q).alias("q"))
+    # Names of their own: both sides may come from one table.
+    q = queries.select(F.col("query_id").alias("asked"), F.col("vector").alias("qv"), F.col("norm").alias("qn"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("q"), every(n_v).alias("v"))
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return pa.table({k: pa.array([], pa.float64() if k == "score" else pa.int64()) for k in ("query_id", "chunk_id", "doc_id", "score")})
+        x, ids, docs = _matrix(vectors["vector"]) / vectors["norm"].to_numpy()[:, None], vectors["chunk_id"].to_numpy(), vectors["doc_id"].to_numpy()
+        asked, y = queries["asked"].to_numpy(), _matrix(queries["qv"]) / queries["qn"].to_numpy()[:, None]
+        keep, out = min(n, len(ids)), []
+        for at in range(0, len(asked), 512):
+            score = np.round(y[at : at + 512] @ x.T, 9)
+            # All ties of the n-th best stay: the last step takes the smaller ids.
+            least = np.partition(score, len(ids) - keep, axis=1)[:, len(ids) - keep]
+            row, col = np.nonzero(score >= least[:, None])
+            order = np.lexsort((ids[col], -score[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[rank < n], col[rank < n]
+            out.append((asked[at + row], ids[col], docs[col], score[row, col]))
+        return pa.table({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("query_id", "chunk_id", "doc_id", "score"))})
+
+    return vs.top_n(v.groupBy("q", "v").cogroup(q.groupBy("q", "v")).applyInArrow(best, "query_id long, chunk_id long, doc_id long, score double"), n)
+
+
+def by_document(found: DataFrame, n: int, docs: DataFrame | None = None) -> DataFrame:
+    """The best chunk of each document, then the n best, with the metadata of ``docs`` if given (unknown documents go)."""
+    out = vs.top_n(vs.best_chunk_per_document(found.drop("rank")), n)
+    return out if docs is None else out.join(docs.select("doc_id", "title", "url", "category", "image_url"), "doc_id")
+
+
+def knn_cosine(vectors: DataFrame, queries: DataFrame, n: int = 10, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """``vectors(chunk_id, doc_id, vector)`` and ``queries(query_id, vector)``: n documents by exact cosine.
+
+    The n * ``pool`` nearest chunks are kept first, then the best chunk of each document.
     """
     v = prepared(vectors) if max_id is None else prepared(vectors.where(F.col("chunk_id") <= max_id))
-    q = prepared(queries).select("query_id", F.col("vector").alias("qv"), F.col("norm").alias("qnorm"))
-    scored = v.crossJoin(q).select("query_id", "chunk_id", "doc_id", F.round(dot(F.col("vector"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 9).alias("score"))
-    return vs.top_n(vs.best_chunk_per_document(vs.top_n(scored, n * pool).drop("rank")), n)
+    return by_document(nearest_chunks(v, prepared(queries), n * pool), n, docs)
 
 
 def ivf_lists(rows: int) -> int:
@@ -61,22 +115,77 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector_col: str =
     return joined.select(*vectors.columns, F.posexplode(near).alias("nth", "__near")).select(*vectors.columns, "nth", F.col("__near")["word_id"].alias("word_id"))
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, n: int = 10, probes: int = 1) -> DataFrame:
-    """Cosine neighbours among the vectors of the ``probes`` lists nearest to the query."""
-    listed = nearest_centroid(prepared(vectors), centroids).withColumnRenamed("word_id", "list_id")
-    asked = nearest_centroid(prepared(queries).select("query_id", F.col("vector").alias("qv"), F.col("norm").alias("qnorm")), centroids, "qv", probes).withColumnRenamed("word_id", "list_id")
-    scored = listed.join(asked, "list_id").select("query_id", "chunk_id", "doc_id", F.round(dot(F.col("vector"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 9).alias("score"))
-    return vs.top_n(scored, n)
-
-
-def lsh_search(vectors: DataFrame, queries: DataFrame, n: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = math.inf, seed: int = 42) -> DataFrame:
-    """Cosine neighbours by bucketed random projections of unit vectors: candidates share a bucket and lie within ``radius``, anywhere by default."""
+def train_lists(vectors: DataFrame, lists: int, seed: int = 42) -> DataFrame:
+    """``(word_id, centroid)`` of the lists: k-means over unit vectors of a sample of at most TRAINING_ROWS rows."""
+    rows = vectors.select(F.transform("vector", lambda x: x / F.col("norm")).alias("u"), F.xxhash64("chunk_id", F.lit(seed)).alias("h"), "chunk_id")
+    sample = rows.orderBy("h", "chunk_id").limit(TRAINING_ROWS).select(array_to_vector("u").alias("features"))
+    centers = KMeans(k=max(lists, 2), seed=seed, maxIter=10).fit(sample).clusterCenters() if lists > 1 else [[0.0]]
+    if lists == 1:
+        size = vectors.select(F.size("vector").alias("n")).first()
+        centers = [[0.0] * (size["n"] if size else 1)]
+    return vectors.sparkSession.createDataFrame([(i + 1, [float(x) for x in c]) for i, c in enumerate(centers)], "word_id long, centroid array<double>")
+
+
+@dataclass
+class IvfIndex:
+    """Vectors in inverted lists, stored in one folder a list, so that a search reads the lists it probes."""
+
+    lists: DataFrame  # chunk_id, doc_id, vector, norm, list_id
+    centroids: DataFrame
+    probes: int
+
+    @classmethod
+    def create(cls, vectors: DataFrame, path: str, lists: int | None = None, probes: int | None = None, target: float = 0.95) -> IvfIndex:
+        """Train and store. Without ``probes``, the smallest number that gives ``target`` of the ten true neighbours of
+        a sample of TUNING_ROWS rows is measured and kept."""
+        spark, new = vectors.sparkSession, Versions(vectors.sparkSession, path).begin()
+        v = prepared(vectors)
+        lists = lists or ivf_lists(v.count())
+        centroids = new.put(train_lists(v, lists), "centroids")
+        unit = v.withColumn("unit", F.transform("vector", lambda x: x / F.col("norm")))
+        listed = nearest_centroid(unit, centroids, "unit").withColumnRenamed("word_id", "list_id").drop("unit").select("chunk_id", "doc_id", "vector", "norm", "list_id")
+        listed.repartition("list_id", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("list_id").parquet(f"{new.path}/{new.version}/lists")
+        stored = spark.read.parquet(f"{new.path}/{new.version}/lists")
+        probes = probes or (1 if lists == 1 else cls._measured(stored, centroids, lists, target))
+        new.put(spark.createDataFrame([(probes,)], "probes int"), "settings")
+        new.commit()
+        return cls(stored, centroids, probes)
+
+    @staticmethod
+    def _measured(stored: DataFrame, centroids: DataFrame, lists: int, target: float) -> int:
+        sample = stored.orderBy(F.xxhash64("chunk_id", F.lit(7)), "chunk_id").limit(TUNING_ROWS).select(F.col("chunk_id").alias("query_id"), "vector", "norm")
+        true = nearest_chunks(stored, sample, 11).where("chunk_id <> query_id").select("query_id", "chunk_id").join(stored.select("chunk_id", "list_id"), "chunk_id")
+        near = nearest_centroid(sample.withColumn("unit", F.transform("vector", lambda x: x / F.col("norm"))).select("query_id", "unit"), centroids, "unit", lists)
+        depth = true.join(near.select("query_id", F.col("word_id").alias("list_id"), "nth"), ["query_id", "list_id"]).groupBy("nth").count().toPandas().sort_values("nth")
+        reached = depth["count"].cumsum() / max(depth["count"].sum(), 1)
+        return int(depth["nth"][reached >= target].iloc[0]) + 1 if len(depth) else 1
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> IvfIndex:
+        now = Versions(spark, path).current()
+        return cls(now.get("lists"), now.get("centroids"), now.get("settings").first()["probes"])
+
+    def search(self, queries: DataFrame, n: int = 10, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None, probes: int | None = None) -> DataFrame:
+        """As ``knn_cosine``, but among the vectors of the ``probes`` lists nearest to each query."""
+        q = prepared(queries).select("query_id", F.transform("vector", lambda x: x / F.col("norm")).alias("qu"))
+        asked = nearest_centroid(q, self.centroids, "qu", max(2, probes or self.probes)).where(F.col("nth") < (probes or self.probes)).withColumnRenamed("word_id", "list_id").drop("nth")
+        # The lists asked for prune the folders that are read; there are no more of them than centroids.
+        wanted = [r["list_id"] for r in asked.select("list_id").distinct().collect()]
+        held = self.lists.where(F.col("list_id").isin(wanted)) if wanted else self.lists.limit(0)
+        held = held if max_id is None else held.where(F.col("chunk_id") <= max_id)
+        scored = held.join(asked, "list_id").select("query_id", "chunk_id", "doc_id", F.round(dot(F.col("vector"), F.col("qu")) / F.col("norm"), 9).alias("score"))
+        return by_document(vs.top_n(scored, n * pool), n, docs)
+
+
+def lsh_search(vectors: DataFrame, queries: DataFrame, n: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = math.inf, seed: int = 42, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """As ``knn_cosine``, but by bucketed random projections of unit vectors: candidates share a bucket and lie within ``radius``, anywhere by default."""
+    vectors = vectors if max_id is None else vectors.where(F.col("chunk_id") <= max_id)
     unit = lambda df: df.withColumn("vector", F.transform("vector", lambda x: x / F.col("norm"))).withColumn("features", array_to_vector("vector"))
     v, q = unit(prepared(vectors)), unit(prepared(queries))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
     near = model.approxSimilarityJoin(v, q, radius, distCol="d")
     scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.col("datasetA.doc_id").alias("doc_id"), F.round(1 - F.col("d") * F.col("d") / 2, 9).alias("score"))
-    return vs.top_n(scored, n)
+    return by_document(vs.top_n(scored, n * pool), n, docs)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -57,6 +57,38 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(where).getLength()) if fs.exists(where) else 0
 
 
+def input_read(df: DataFrame) -> dict[str, int]:
+    """Run ``df`` to its end; files, bytes and rows that its scans read, by their own counters, each scan once.
+
+    A scan that several branches share is one scan. Bytes are those of the files opened, so a pruned folder doesn't count.
+    """
+    out = {"files": 0, "bytes": 0, "rows": 0}
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().executeCollect() if df.columns else None
+    names = {"numFiles": "files", "filesSize": "bytes", "numOutputRows": "rows"}
+    seen, todo = set(), [execution.executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind.startswith("Reused"):
+            continue
+        elif kind.startswith("FileSourceScan"):
+            if node.id() not in seen:
+                seen.add(node.id())
+                metrics = node.metrics()
+                for metric, name in names.items():
+                    if metrics.contains(metric):
+                        out[name] += metrics.apply(metric).value()
+        else:
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def summary(rows: list[dict]) -> str:
     """A plain table of measured figures."""
     if not rows:

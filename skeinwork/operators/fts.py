@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.analysis import STOPWORDS, tokenize
@@ -32,46 +36,95 @@ def match_all(vectors: DataFrame, lexemes: DataFrame) -> DataFrame:
     return found.join(wanted, "query_id").where("found = wanted").select("query_id", "chunk_id")
 
 
-def excluding(matches: DataFrame, vectors: DataFrame, unwanted: DataFrame) -> DataFrame:
-    """The matches whose chunk holds no lexeme of ``unwanted(query_id, lexeme)``."""
-    bad = vectors.join(unwanted, "lexeme").select("query_id", "chunk_id").distinct()
-    return matches.join(bad, ["query_id", "chunk_id"], "left_anti")
+def parse_websearch(text: str | None) -> list[tuple[int, int, bool, int, str]]:
+    """Web search syntax to (alternative, item, unwanted, place in the item, lexeme).
 
+    Words must all occur; "quoted words" follow each other; a minus before either excludes it; OR separates
+    alternatives. Stop words are left out but hold their places in a phrase.
+    """
+    out, alternative, item = [], 0, 0
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', text or ""):
+        if not minus and word.lower() == "or":
+            alternative += 1
+            continue
+        found = [(k, w) for k, w in enumerate(re.findall("[a-z]+", (phrase or word).lower())) if w not in STOPWORDS]
+        out += [(alternative, item, bool(minus), k - found[0][0], w) for k, w in found]
+        item += 1
+    return out
+
+
+def websearch(queries: DataFrame) -> DataFrame:
+    """``queries(query_id, text)`` to their parsed ``(query_id, alt, item, unwanted, ord, lexeme)``."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(q, *x) for q, text in zip(b["query_id"], b["text"], strict=True) for x in parse_websearch(text)]
+            yield pd.DataFrame(rows, columns=["query_id", "alt", "item", "unwanted", "ord", "lexeme"])
+
+    return queries.select("query_id", "text").mapInPandas(emit, "query_id long, alt int, item int, unwanted boolean, ord int, lexeme string")
+
+
+def match_websearch(vectors: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id)`` of the chunks that match an alternative: all its words and phrases, nothing unwanted.
+
+    An alternative without anything wanted matches nothing.
+    """
+    size = parsed.groupBy("query_id", "alt", "item", "unwanted").agg(F.count("*").alias("size"))
+    at = ["query_id", "alt", "item", "unwanted", "chunk_id"]
+    # One position tells that a word occurs; a phrase needs all of them.
+    starts = vectors.join(parsed.join(size, ["query_id", "alt", "item", "unwanted"]), "lexeme")
+    starts = starts.select(*at, "size", "ord", F.explode(F.when(F.col("size") == 1, F.slice("positions", 1, 1)).otherwise(F.col("positions"))).alias("p"))
+    hits = starts.groupBy(*at, "size", (F.col("p") - F.col("ord")).alias("start")).agg(F.count_distinct("ord").alias("found")).where("found = size").select(*at).distinct()
+    wanted = size.where("NOT unwanted").groupBy("query_id", "alt").agg(F.count("*").alias("wanted"))
+    full = hits.where("NOT unwanted").groupBy("query_id", "alt", "chunk_id").agg(F.count("*").alias("found")).join(wanted, ["query_id", "alt"]).where("found = wanted")
+    return full.join(hits.where("unwanted"), ["query_id", "alt", "chunk_id"], "left_anti").select("query_id", "chunk_id").distinct()
 
-def phrase(vectors: DataFrame, lexemes: DataFrame) -> DataFrame:
-    """``lexemes(query_id, ord, lexeme)``: chunks in which they follow each other, ``ord`` apart."""
-    wanted = lexemes.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    starts = vectors.join(lexemes, "lexeme").select("query_id", "chunk_id", "ord", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("ord"))
-    runs = starts.groupBy("query_id", "chunk_id", "start").agg(F.count_distinct("ord").alias("found"))
-    return runs.join(wanted, "query_id").where("found = wanted").select("query_id", "chunk_id").distinct()
+
+def _repeats(positions) -> object:
+    """Weight of one lexeme's occurrences, each counting less than the one before."""
+    return WEIGHT * F.aggregate(F.sequence(F.lit(1), F.size(positions)), F.lit(0.0), lambda s, j: s + 1.0 / (j * j)) / 1.64493406685
 
 
 def proximity_rank(vectors: DataFrame, lexemes: DataFrame, matches: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of the matches.
+    """``(query_id, chunk_id, score)`` of the matches, for queries that demand all of ``lexemes(query_id, lexeme)``.
 
     With several lexemes: 1 - product over pairs of their positions of (1 - sqrt(w * w * closeness)), closeness
-    1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) up to a distance d of 100. With one: w times the sum of 1 / j**2 over its
-    occurrences, over pi**2 / 6.
+    1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) up to a distance d of 100, and next to none beyond. With one: w times the sum
+    of 1 / j**2 over its occurrences, over pi**2 / 6. Pairs are made within a match's row, whose lists are bounded.
     """
     held = vectors.join(lexemes, "lexeme").join(matches, ["query_id", "chunk_id"], "left_semi")
     size = lexemes.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    each = held.select("query_id", "chunk_id", "lexeme", F.explode("positions").alias("p"))
-    other = each.select("query_id", "chunk_id", F.col("lexeme").alias("lexeme2"), F.col("p").alias("p2"))
-    d = F.abs(F.col("p") - F.col("p2"))
-    close = F.when(d <= 100, 1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))).otherwise(1e-30)
-    pairs = each.join(other, ["query_id", "chunk_id"]).where("lexeme < lexeme2")
-    many = pairs.groupBy("query_id", "chunk_id").agg((1 - F.exp(F.sum(F.log(1 - F.sqrt(WEIGHT * WEIGHT * close))))).alias("score"))
-    repeats = F.aggregate(F.sequence(F.lit(1), F.size("positions")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
-    one = held.join(size, "query_id").where("wanted = 1").select("query_id", "chunk_id", (WEIGHT * repeats / 1.64493406685).alias("score"))
-    return many.unionByName(one).withColumn("score", F.round("score", 9))
+    rows = held.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("lexeme", "positions"))).alias("held")).join(size, "query_id")
+    places = F.flatten(F.transform("held", lambda e, i: F.transform(e["positions"], lambda p: F.struct(i.alias("i"), p.alias("p")))))
+
+    def close(d):
+        return F.log(1 - F.sqrt(WEIGHT * WEIGHT / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))
+
+    def with_later(a):
+        return F.aggregate(F.filter("places", lambda b: (b["i"] > a["i"]) & (F.abs(b["p"] - a["p"]) <= 100)), F.lit(0.0), lambda s, b: s + close(F.abs(b["p"] - a["p"])))
+
+    many = 1 - F.exp(F.aggregate("places", F.lit(0.0), lambda s, a: s + with_later(a)))
+    score = F.when(F.col("wanted") == 1, _repeats(F.col("held")[0]["positions"])).otherwise(many)
+    return rows.withColumn("places", places).select("query_id", "chunk_id", F.round(score, 9).alias("score"))
+
+
+def any_rank(vectors: DataFrame, lexemes: DataFrame, matches: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id, score)`` for queries of alternatives: the mean weight of the query's lexemes in the chunk."""
+    size = lexemes.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    held = vectors.join(lexemes, "lexeme").join(matches, ["query_id", "chunk_id"], "left_semi")
+    return held.groupBy("query_id", "chunk_id").agg(F.sum(_repeats(F.col("positions"))).alias("s")).join(size, "query_id").select("query_id", "chunk_id", F.round(F.col("s") / F.col("wanted"), 9).alias("score"))
 
 
 def fts_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 10, pool: int = 16, max_chunks: int | None = None, metadata: bool = True) -> DataFrame:
-    """Matches ranked, cut to n * ``pool`` chunks, then the best chunk of each document, then n; fewer may return."""
+    """Web searches: matches ranked, cut to n * ``pool`` chunks, then the best chunk of each document, then n; fewer may return."""
     if max_chunks is not None:
         vectors = vectors.where(F.col("chunk_id") <= max_chunks)
-    lexemes = query_lexemes(queries)
-    scored = proximity_rank(vectors, lexemes, match_all(vectors, lexemes))
+    parsed = websearch(queries)
+    matches = match_websearch(vectors, parsed)
+    # Unwanted words don't count; a query with several alternatives is ranked by their words' weights.
+    words = parsed.where("NOT unwanted").select("query_id", "lexeme").distinct()
+    several = parsed.groupBy("query_id").agg(F.max("alt").alias("last")).where("last > 0").select("query_id")
+    scored = proximity_rank(vectors, words.join(several, "query_id", "left_anti"), matches).unionByName(any_rank(vectors, words.join(several, "query_id", "left_semi"), matches))
     cut = vs.top_n(scored, n * pool).drop("rank").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     kept = vs.top_n(vs.best_chunk_per_document(cut), n)
     extra = ["category", "image_url"] if metadata else []
@@ -83,14 +136,21 @@ def signature(lexeme) -> object:
     return F.pmod(F.conv(F.substring(F.md5(lexeme), 1, 8), 16, 10).cast("long"), F.lit(SIGNATURE_BITS))
 
 
-def match_signature(vectors: DataFrame, lexemes: DataFrame) -> DataFrame:
-    """``match_all`` behind a lossy test: a chunk's bits must cover the query's before its lexemes are looked at."""
-    bits = vectors.groupBy("chunk_id").agg(F.collect_set(signature(F.col("lexeme"))).alias("bits"))
-    asked = lexemes.groupBy("query_id").agg(F.collect_set(signature(F.col("lexeme"))).alias("asked"))
-    maybe = bits.crossJoin(asked).where(F.size(F.array_except("asked", "bits")) == 0).select("query_id", "chunk_id")
-    return match_all(vectors, lexemes).join(maybe, ["query_id", "chunk_id"], "left_semi")
+def signatures(vectors: DataFrame) -> DataFrame:
+    """``(bit, chunk_id, bits)``: a chunk's signature, once under each of its bits. Stored, it is the lossy index."""
+    bits = vectors.groupBy("chunk_id").agg(F.array_sort(F.collect_set(signature(F.col("lexeme")))).alias("bits"))
+    return bits.select(F.explode("bits").alias("bit"), "chunk_id", "bits")
+
 
+def match_signature(signed: DataFrame, vectors: DataFrame, lexemes: DataFrame) -> DataFrame:
+    """``match_all`` behind the lossy test: only chunks whose bits cover the query's are looked at again.
 
-def first_n(df: DataFrame, n: int, *order) -> DataFrame:
-    w = Window.orderBy(*order)
-    return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(w))
+    Each query enters at the rarest of its bits; nothing else is read of the signatures.
+    """
+    asked = lexemes.select("query_id", signature(F.col("lexeme")).alias("bit")).distinct()
+    common = signed.join(asked.select("bit").distinct(), "bit", "left_semi").groupBy("bit").agg(F.count("*").alias("n"))
+    entry = asked.join(common, "bit", "left").groupBy("query_id").agg(F.min_by("bit", F.struct(F.coalesce("n", F.lit(0)), "bit")).alias("bit"), F.collect_set("bit").alias("asked"))
+    maybe = signed.join(entry, "bit").where(F.size(F.array_except("asked", "bits")) == 0).select("query_id", "chunk_id")
+    wanted = lexemes.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    held = maybe.join(lexemes, "query_id").join(vectors.select("chunk_id", "lexeme"), ["chunk_id", "lexeme"])
+    return held.groupBy("query_id", "chunk_id").agg(F.count("*").alias("found")).join(wanted, "query_id").where("found = wanted").select("query_id", "chunk_id")

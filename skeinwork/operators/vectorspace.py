@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Chunk ids of one part of a posting list.
+LIST_CHUNKS = 4096
 #: Rows of a codebook that may be broadcast; a larger one is left to the optimizer.
 SMALL_CODEBOOK = 100_000
 
@@ -51,6 +53,13 @@ def postings(bag: DataFrame, all_chunks: DataFrame, keep_zero: bool = True) -> D
     return out if keep_zero else out.where("w <> 0")
 
 
+def posting_lists(counted: DataFrame, word: str = "term") -> DataFrame:
+    """``counted(chunk_id, term, tf)`` to ``(term, part, postings)``: lists sorted by chunk, cut at every LIST_CHUNKS ids, so
+    that a frequent term's list never becomes one row."""
+    parts = counted.groupBy(word, F.floor(F.col("chunk_id") / LIST_CHUNKS).alias("part"))
+    return parts.agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf"))).alias("postings"))
+
+
 def norms(posted: DataFrame) -> DataFrame:
     return posted.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 

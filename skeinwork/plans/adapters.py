@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.plans.text_index import TextIndex
+from skeinwork.sources.tables import session_dir
 
 #: Paragraphs of the fixture texts are separated by single new lines.
 SEPARATOR = r"\n+"
@@ -18,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that come in fewer splits than there are cores, as of a file of one row group, dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"), F.lit(None).cast("string").alias("image_url"), F.col("lang").alias("category"))
@@ -41,14 +45,27 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") + 1).alias("chunk_id"), F.floor(F.col("vec_id") / 4).alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("category"))
 
 
-_stored: dict[tuple, TextIndex] = {}
+_stored: dict[tuple, object] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str, k: int, stem: bool = False) -> TextIndex:
-    """The text index of the fixture documents, written once per session to the folder that the executors share."""
-    key = (spark.sparkContext.applicationId, sf_dir, k, stem)
+def once(spark: SparkSession, key: tuple, build):
+    """What ``build(folder)`` makes of a new session folder, made once in a session."""
+    key = (spark.sparkContext.applicationId, *key)
     if key not in _stored:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skeinwork-")
-        path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
-        _stored[key] = TextIndex.build(documents(spark, sf_dir), k, SEPARATOR, stem=stem).write(path)
+        _stored[key] = build(session_dir(spark))
     return _stored[key]
+
+
+def once_table(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """A table that ``make`` gives, written once in a session."""
+
+    def build(path: str) -> DataFrame:
+        make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    return once(spark, key, build)
+
+
+def stored_index(spark: SparkSession, sf_dir: str, k: int, stem: bool = True) -> TextIndex:
+    """The text index of the fixture documents, written once per session to the folder that the executors share."""
+    return once(spark, ("text", sf_dir, k, stem), lambda path: TextIndex.create(spread(documents(spark, sf_dir)), path, k, SEPARATOR, stem=stem))

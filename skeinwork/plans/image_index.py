@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.operators import image as im
 from skeinwork.operators import vectorspace as vs
 from skeinwork.operators.search import ranked
+from skeinwork.sources.tables import Versions
 
 
 @dataclass
@@ -21,6 +22,29 @@ class ImageIndex:
     postings: DataFrame
     norms: DataFrame
 
+    PARTS = ("docs", "chunks", "centroids", "bag", "postings", "norms")
+
+    @classmethod
+    def create(cls, docs: DataFrame, descriptors: DataFrame, path: str, k: int = 512, centroids: DataFrame | None = None) -> ImageIndex:
+        """Descriptors to a stored index: a codebook of k visual words (trained if not given), then all parts."""
+        return cls.build(docs, descriptors, im.visual_codebook(descriptors, k) if centroids is None else centroids).write(path)
+
+    def write(self, path: str) -> ImageIndex:
+        """Store all parts as the path's current version; postings are sorted by word."""
+        new = Versions(self.bag.sparkSession, path).begin()
+        docs, chunks, centroids = new.put(self.docs, "docs"), new.put(self.chunks, "chunks"), new.put(self.centroids, "centroids")
+        bag = new.put(self.bag, "bag")
+        posted = vs.postings(bag, chunks, keep_zero=False)
+        posted = new.put(posted.repartitionByRange("word_id", "chunk_id").sortWithinPartitions("word_id", "chunk_id"), "postings")
+        norms = new.put(vs.norms(posted), "norms")
+        new.commit()
+        return ImageIndex(docs, chunks, centroids, bag, posted, norms)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> ImageIndex:
+        now = Versions(spark, path).current()
+        return cls(*[now.get(p) for p in cls.PARTS])
+
     @classmethod
     def build(cls, docs: DataFrame, descriptors: DataFrame, centroids: DataFrame) -> ImageIndex:
         """``descriptors(chunk_id, doc_id, patch_index, descriptor)``; words of all patches are dropped."""

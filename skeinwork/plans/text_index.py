@@ -1,4 +1,4 @@
-"""The text index: chunks, codebook, postings and norms, built lazily, stored as Parquet."""
+"""The text index: chunks, term frequencies, codebook, postings and norms, built lazily, stored as Parquet."""
 
 from __future__ import annotations
 
@@ -11,34 +11,43 @@ from skeinwork.functions.analysis import analyse, stem_vocabulary
 from skeinwork.functions.chunking import MIN_WORDS, chunk_documents
 from skeinwork.operators import vectorspace as vs
 from skeinwork.operators.search import ranked
+from skeinwork.sources.tables import Versions
 
 CODEBOOK_SIZE = 5000
 
 
 @dataclass
 class TextIndex:
-    """Parts of an index; ``docs`` holds the metadata of results."""
+    """Parts of an index; ``docs`` holds the metadata of results. Terms are stems unless ``stem`` is off."""
 
     docs: DataFrame
     chunks: DataFrame
+    terms: DataFrame  # chunk_id, term, tf
     codebook: DataFrame
     postings: DataFrame
     norms: DataFrame
-    stem: bool = False
+    stem: bool = True
 
-    PARTS = ("docs", "chunks", "codebook", "postings", "norms")
+    PARTS = ("docs", "chunks", "terms", "codebook", "postings", "norms")
 
     @classmethod
-    def build(cls, docs: DataFrame, k: int = CODEBOOK_SIZE, separator: str = r"\n\n+", min_words: int = MIN_WORDS, stem: bool = False) -> TextIndex:
+    def build(cls, docs: DataFrame, k: int = CODEBOOK_SIZE, separator: str = r"\n\n+", min_words: int = MIN_WORDS, stem: bool = True) -> TextIndex:
         return cls.from_chunks(docs, chunk_documents(docs, separator, min_words), k, stem)
 
     @classmethod
-    def from_chunks(cls, docs: DataFrame, chunks: DataFrame, k: int = CODEBOOK_SIZE, stem: bool = False) -> TextIndex:
-        tf = cls.frequencies(chunks, stem)
-        book = vs.codebook(vs.collection_frequency(tf), k)
-        bag = tf.join(F.broadcast(book) if k <= vs.SMALL_CODEBOOK else book, "term").select("chunk_id", "word_id", "tf")
+    def from_chunks(cls, docs: DataFrame, chunks: DataFrame, k: int = CODEBOOK_SIZE, stem: bool = True) -> TextIndex:
+        return cls.from_terms(docs.drop("body"), chunks, cls.frequencies(chunks, stem), k, stem)
+
+    @classmethod
+    def from_terms(cls, docs: DataFrame, chunks: DataFrame, terms: DataFrame, k: int, stem: bool) -> TextIndex:
+        book = vs.codebook(vs.collection_frequency(terms), k)
+        return cls(docs, chunks, terms, book, *cls.weighed(chunks, terms, book, k), stem)
+
+    @staticmethod
+    def weighed(chunks: DataFrame, terms: DataFrame, book: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        bag = terms.join(F.broadcast(book) if k <= vs.SMALL_CODEBOOK else book, "term").select("chunk_id", "word_id", "tf")
         posted = vs.postings(bag, chunks)
-        return cls(docs.drop("body"), chunks, book, posted, vs.norms(posted), stem)
+        return posted, vs.norms(posted)
 
     @staticmethod
     def frequencies(chunks: DataFrame, stem: bool = False) -> DataFrame:
@@ -48,22 +57,39 @@ class TextIndex:
             tf = tf.join(stem_vocabulary(tf), "term").groupBy("chunk_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
         return tf
 
+    @classmethod
+    def create(cls, docs: DataFrame, path: str, k: int = CODEBOOK_SIZE, separator: str = r"\n\n+", min_words: int = MIN_WORDS, stem: bool = True) -> TextIndex:
+        """Build the index at the path, each part from the stored one before it.
+
+        A version of its own is written and then made the current one, so readers never meet parts of two builds.
+        Postings are sorted by word, so that a lookup skips most row groups.
+        """
+        new = Versions(docs.sparkSession, path).begin()
+        meta = new.put(docs.drop("body"), "docs")
+        chunks = new.put(chunk_documents(docs, separator, min_words), "chunks")
+        terms = new.put(cls.frequencies(chunks, stem), "terms")
+        book = new.put(vs.codebook(vs.collection_frequency(terms), k), "codebook")
+        return cls._finish(new, meta, chunks, terms, book, k, stem)
+
     def write(self, path: str) -> TextIndex:
-        """A full rebuild at the path; postings are sorted by word, so that a lookup skips most row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.codebook.write.mode("overwrite").parquet(f"{path}/codebook")
-        stored = TextIndex.read(self.codebook.sparkSession, path, self.stem, ("docs", "chunks", "codebook"))
-        tf = self.frequencies(stored.chunks, self.stem)
-        posted = vs.postings(tf.join(stored.codebook, "term").select("chunk_id", "word_id", "tf"), stored.chunks)
-        posted.repartitionByRange("word_id", "chunk_id").sortWithinPartitions("word_id", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-        posted = self.codebook.sparkSession.read.parquet(f"{path}/postings")
-        vs.norms(posted).write.mode("overwrite").parquet(f"{path}/norms")
-        return TextIndex.read(self.codebook.sparkSession, path, self.stem)
+        """Store this index as the path's current version."""
+        new = Versions(self.codebook.sparkSession, path).begin()
+        book = new.put(self.codebook, "codebook")
+        return self._finish(new, new.put(self.docs, "docs"), new.put(self.chunks, "chunks"), new.put(self.terms, "terms"), book, book.count(), self.stem)
+
+    @classmethod
+    def _finish(cls, new: Versions, docs: DataFrame, chunks: DataFrame, terms: DataFrame, book: DataFrame, k: int, stem: bool) -> TextIndex:
+        posted, _ = cls.weighed(chunks, terms, book, k)
+        posted = new.put(posted.repartitionByRange("word_id", "chunk_id").sortWithinPartitions("word_id", "chunk_id"), "postings")
+        norms = new.put(vs.norms(posted), "norms")
+        new.commit()
+        return cls(docs, chunks, terms, book, posted, norms, stem)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, stem: bool = False, parts: tuple[str, ...] = PARTS) -> TextIndex:
-        return cls(*[spark.read.parquet(f"{path}/{p}") if p in parts else None for p in cls.PARTS], stem)
+    def read(cls, spark: SparkSession, path: str, stem: bool = True) -> TextIndex:
+        """The current version at the path; ``stem`` as it was built."""
+        now = Versions(spark, path).current()
+        return cls(*[now.get(p) for p in cls.PARTS], stem)
 
     def bag(self, queries: DataFrame) -> DataFrame:
         """``queries(query_id, text)`` to ``(query_id, word_id, qtf)``; words outside the codebook add nothing."""

@@ -63,6 +63,14 @@ def rolling(values: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     return (total[width:] - total[: n - width + 1]) * down[: n - width + 1]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes; equal bytes have equal ones."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 class Words:
     """The words of some documents: hash, start and end byte of each, and the first word of each document.
 
@@ -79,10 +87,7 @@ class Words:
         np.logical_not(SPACE[data], out=inside[1:-1])
         self.starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
         self.ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        self.hashes = span_hashes(LOWER[data] if lower else data, self.starts, self.ends)
         sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         begins = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(sizes, out=begins[1:])

@@ -1,8 +1,10 @@
 """Sequence packing by lexical retrieval.
 
 Documents are tokenised once, where they are read; document frequencies by token id and the mean length are counted over
-all of them. They are dealt by hash to shards of bounded size. Each shard builds a BM25 inverted index over token ids.
-A seed document opens a window; the index returns its unused neighbours, best first, which fill the window. The document that overflows is cut, its rest opens the next window, and it is the next seed. So
+all of them. They are then ordered by a lexical key, a weighted MinHash of their token ids: two documents get the same
+key with the probability of the Jaccard similarity of their id sets, weighted by squared idf. Stretches of bounded size
+of that order are shards, each with a BM25 inverted index over token ids. A seed document opens a window; the index returns its unused neighbours, best first,
+which fill the window. The document that overflows is cut, its rest opens the next window, and it is the next seed. So
 every sequence but a shard's last is full; the last is cut into powers of two, which need no padding.
 """
 
@@ -14,21 +16,21 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm import _text as tx
 from skeinwork.llm._store import Store
 
-#: Bytes of token ids in a shard, on average.
-SHARD_BYTES = 3_000_000
-#: Pieces of text whose ids a worker remembers, also from one task to the next (some 110 MB).
-CACHE_PIECES = 700_000
+#: Bytes of token ids of a shard, and of a partition that is cut into shards.
+SHARD_BYTES, PARTITION_BYTES = 3_000_000, 48_000_000
+#: Pieces of text that a worker remembers, also from one task to the next, with slots by hash and bytes of the longest (some 100 MB).
+KNOWN, SLOTS, LONGEST = 1_500_000, 1 << 22, 64
 K1, B = 1.2, 0.75
 END = 1
 
@@ -49,11 +51,54 @@ _PIECES = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^
 _WHITE = re.compile("[\t-\r ]+")
 
 
+#: Classes of bytes for the fast path: white space, letters, digits, others.
+_WHITE_BYTE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[tx.SPACE] = _WHITE_BYTE
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_LATIN = 0xC3  # first byte of U+00C0 to U+00FF
+
+
+def _plain(text: bytes) -> bool:
+    """Only ASCII and the letters of U+00C0 to U+00FF, and no added token: bytes tell where pieces begin."""
+    if b"<|" in text:
+        return False
+    if text.isascii():
+        return True
+    data = np.frombuffer(text, dtype=np.uint8)
+    high = np.flatnonzero(data > 127)
+    return len(high) % 2 == 0 and bool((data[high[::2]] == _LATIN).all()) and not np.isin(data[high[1::2]], (0x97, 0xB7, _LATIN)).any()
+
+
+def _bounds(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of the pieces that PATTERN finds in lower-cased plain texts."""
+    kind = _CLASS[low]
+    new = np.ones(len(low) + 3, dtype=bool)
+    new[1 : len(low)] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    after = np.append(low, np.zeros(3, dtype=np.uint8))
+    # An apostrophe that begins a piece and stands right before a letter may begin a contraction.
+    at = np.flatnonzero((low == 0x27) & new[: len(low)])
+    at = at[_CLASS[after[at + 1]] == _LETTER]
+    one, two = after[at + 1], after[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+    long = ~short & (np.isin(one, np.frombuffer(b"rv", dtype=np.uint8)) & (two == 101) | (one == 108) & (two == 108))
+    new[at[short | long] + 1] = False
+    new[at[short] + 2] = True
+    new[at[long] + 3] = True
+    first = np.flatnonzero(new[: len(low)])
+    end = np.append(first[1:], len(low))
+    real = kind[first] != _WHITE_BYTE
+    return first[real], end[real]
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit integers; equal to the tokenizer's own on the whole text.
 
     A tokenizer that lower-cases, splits by PATTERN and marks the ends of pieces never joins text across pieces, so a
-    text's ids are those of its pieces; each is encoded once while it is remembered. Other tokenizers get whole texts.
+    text's ids are those of its pieces; each is encoded once while it is remembered. Pieces of plain texts are found and
+    looked up by a 64-bit hash for a whole chunk of texts at once; pieces of other texts are found by ``_PIECES``. Other
+    tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -63,7 +108,6 @@ class Encoder:
         self.path, self._whole = path, None
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
-        self.known: dict[str, bytes] = {}
         end = about["model"].get("end_of_word_suffix")
         steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
         self.split = bool(end) and steps == ["NFC", "Replace", "Lowercase"] and PATTERN in json.dumps(about["pre_tokenizer"]).replace("\\\\", "\\")
@@ -74,6 +118,13 @@ class Encoder:
             vocabulary = self.bare.get_vocab(with_added_tokens=True)
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+            self._forget()
+
+    def _forget(self) -> None:
+        """The table of known pieces: hash by slot, number by slot, and where each number's ids stand."""
+        self.slot_hash, self.slot_number = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.int32)
+        self.begin, self.count, self.ids = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 18, dtype=np.uint32)
+        self.numbers = self.filled = 0
 
     @property
     def tokenizer(self):
@@ -85,34 +136,80 @@ class Encoder:
         return self._whole
 
     def _pieces(self, text: str) -> list[str]:
-        if "<|" not in text if text.isascii() else not _ODD.search(text):
-            return _PIECES.findall(text.lower())
         out = []
         for w in _WHITE.split(text):
             out += [w] if _ODD.search(w) else _PIECES.findall(w.lower())
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        odd = [w for w in new if _ODD.search(w)]
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        plain = [w for w in new if w not in self.known]
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
-            groups = [part[i : i + 100] for i in range(0, len(part), 100)]
-            ids = np.concatenate([e.ids for e in self.bare.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)]).astype("<u4")
-            ends, data = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes()
-            self.known.update(zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-cased pieces one after the other, and how many each has."""
+        groups = [pieces[i : i + 100] for i in range(0, len(pieces), 100)]
+        ids = np.concatenate([e.ids for at in range(0, len(groups), 100) for e in self.bare.encode_batch_fast(groups[at : at + 100], is_pretokenized=True, add_special_tokens=False)]).astype(np.uint32)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+    def _add(self, pieces: list[str]) -> np.ndarray:
+        """New pieces' numbers."""
+        ids, count = self._encoded(pieces)
+        for name, more, have in (("ids", ids, self.filled), ("count", count, self.numbers), ("begin", self.filled + np.cumsum(count) - count, self.numbers)):
+            table = getattr(self, name)
+            if have + len(more) > len(table):
+                table = np.append(table, np.zeros(max(len(table), len(more)), dtype=table.dtype))
+                setattr(self, name, table)
+            table[have : have + len(more)] = more
+        first = self.numbers
+        self.numbers, self.filled = first + len(count), self.filled + len(ids)
+        return np.arange(first, self.numbers)
+
+    def _plain_ids(self, texts: list[bytes]) -> list[bytes]:
+        if self.numbers > KNOWN:
+            self._forget()
+        data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+        low = tx.LOWER[data]
+        latin = np.flatnonzero(data[:-1] == _LATIN) + 1
+        latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E)]
+        low[latin] += 0x20
+        first, end = _bounds(low)
+        hashes = tx.span_hashes(low, first, end)
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        number = self.slot_number[slot].astype(np.int64)
+        # Of a million short pieces, two share a hash with a chance of 1e-7; long ones, which could be made to, have no slot.
+        far = end - first > LONGEST
+        miss = np.flatnonzero((self.slot_hash[slot] != hashes) | far)
+        if len(miss):
+            near = miss[~far[miss]]
+            _, one, back = np.unique(hashes[near], return_index=True, return_inverse=True)
+            raw = low.tobytes()
+            new = [raw[first[i] : end[i]].decode() for i in near[one]] + [raw[first[i] : end[i]].decode() for i in miss[far[miss]]]
+            made = self._add(new)
+            number[near] = made[: len(one)][back]
+            number[miss[far[miss]]] = made[len(one) :]
+            at = slot[near[one]]  # of new pieces that share a slot, the last one has it
+            self.slot_hash[at], self.slot_number[at] = hashes[near[one]], made[: len(one)]
+        count = self.count[number].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(count)])
+        flat = self.ids[np.arange(total[-1]) + np.repeat(self.begin[number] - total[:-1], count)].astype("<u4")
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        cuts = total[np.searchsorted(first, starts)]
+        return [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _other_ids(self, texts: list[str]) -> list[bytes]:
+        pieces = [self._pieces(t) for t in texts]
+        every = list(set().union(*pieces))
+        odd = [w for w in every if _ODD.search(w)]
+        known = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True)}
+        if plain := [w for w in every if w not in known]:
+            ids, count = self._encoded(plain)
+            ends, data = (4 * np.cumsum(count)).tolist(), ids.astype("<u4").tobytes()
+            known.update(zip(plain, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        return [b"".join(map(known.__getitem__, x)) for x in pieces]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.split:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        pieces = [self._pieces(t.decode()) for t in texts]
-        if len(self.known) > CACHE_PIECES:  # the pieces met first are the most frequent ones
-            self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
-        self._learn(list(set().union(*pieces).difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+        plain = [_plain(t) for t in texts]
+        own = iter(self._plain_ids([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        other = iter(self._other_ids([t.decode() for t, p in zip(texts, plain, strict=True) if not p]) if not all(plain) else ())
+        return [next(own if p else other) for p in plain]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -259,20 +356,56 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     tokens = Store(docs.sparkSession).put(small.mapInArrow(tokenise, "id long, wide boolean, ids binary"), "tokens")
     idf, mean, size = _statistics(tokens)
-    shards = max(1, -(-size // shard_bytes))
-
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("ids", "ascending")])
-        docs = _ids(table["ids"], table["wide"])
-        own, shard = table["id"].to_pylist(), table["shard"][0].as_py()
-        rows = [(own[d], a, n, docs[d][a : a + n].astype("<u4"), len(docs[d]), (shard << 32) + s, o) for d, a, n, s, o in pack(docs, window, idf, mean)]
-        columns = list(zip(*rows, strict=True))
-        crc = [zlib.crc32(x.tobytes()) for x in columns[3]]
-        cast = [pa.array(c, pa.int64()) for c in (columns[0], columns[1], columns[2], crc, columns[4], columns[5], columns[6])]
-        flat = pa.array(np.concatenate(columns[3]).astype(np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)), flat)
-        return pa.Table.from_arrays([*cast, lists], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("id", "ids"), F.lit(shards)).cast("long"))
+    first = priorities(idf)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = [lexical_key(x, first) for x in _ids(b.column("ids"), b.column("wide"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[k] for x in low], pa.float32()) for k in range(2)]], names=["id", "wide", "ids", "k1", "k2"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = TaskContext.get().partitionId() << 32
+        for own, docs in _shards(batches, shard_bytes):
+            rows = [(own[d], a, n, docs[d][a : a + n].astype("<u4"), len(docs[d]), begun + s, o) for d, a, n, s, o in pack(docs, window, idf, mean)]
+            begun = rows[-1][5] + 1
+            for at in range(0, len(rows), 1000):
+                columns = list(zip(*rows[at : at + 1000], strict=True))
+                crc = [zlib.crc32(x.tobytes()) for x in columns[3]]
+                cast = [pa.array(c, pa.int64()) for c in (columns[0], columns[1], columns[2], crc, columns[4], columns[5], columns[6])]
+                flat = pa.array(np.concatenate(columns[3]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([*cast, lists], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    # A third column splits copies, which share both keys.
+    by = ["k1", "k2", F.xxhash64("id", "ids")]
+    dealt = tokens.mapInArrow(keyed, "id long, wide boolean, ids binary, k1 float, k2 float").repartitionByRange(parts, *by).sortWithinPartitions(*by)
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, ids array<int>"
-    return dealt.groupBy("shard").applyInArrow(fill, schema).withColumnRenamed("id", id_col)
+    return dealt.select("id", "wide", "ids").mapInArrow(fill, schema).withColumnRenamed("id", id_col)
+
+
+def priorities(idf: np.ndarray) -> np.ndarray:
+    """A fixed exponential variable of each token id over its weight, idf squared: the smallest of a set is a weighted MinHash."""
+    u = (tx.mix(np.arange(len(idf), dtype=np.uint64) + np.uint64(0x5EED)) >> np.uint64(11)).astype(float) / 2.0**53
+    return (-np.log(1 - u) / np.maximum(idf, 1e-9) ** 2).astype(np.float32)
+
+
+def lexical_key(ids: np.ndarray, first: np.ndarray) -> tuple[float, float]:
+    """The two smallest priorities of a document's ids (its end counts, so there is one at least)."""
+    p = np.unique(first[ids])[:2]
+    return float(p[0]), float(p[-1])
+
+
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and token ids of consecutive documents, cut where ``most`` bytes are reached."""
+    own, docs, size = [], [], 0
+    for b in batches:
+        for i, ids in zip(b.column("id").to_pylist(), _ids(b.column("ids"), b.column("wide")), strict=True):
+            own.append(i)
+            docs.append(ids)
+            size += ids.nbytes
+            if size >= most:
+                yield own, docs
+                own, docs, size = [], [], 0
+    if docs:
+        yield own, docs

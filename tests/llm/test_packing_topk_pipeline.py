@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinwork.llm import topk
+from skeinwork.llm import packing, topk
 from skeinwork.llm.packing import Encoder, Index, _statistics, order, pack, pack_documents
 from skeinwork.llm.topk import top_k
 
@@ -37,6 +37,31 @@ def test_fast_path_ids_equal_the_tokenizers_own(tokenizer):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_bytes_tell_the_pieces_of_plain_texts(tokenizer, monkeypatch):
+    r = random.Random(7)
+    parts = ["'", "'s", "'re", "'LL", "'d", "''", "ab", "É", "ßÀÞ", "×", "÷", "12", " ", "\t\n", "\x1c", ".,", "-'t", "x'm y", "l", "v", "e", "Ñandú", "w" * 70]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(3000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    own = Encoder(PATH)
+    for slots, known in ((packing.SLOTS, 10**6), (16, 10**6), (64, 40)):  # with many pieces to a slot, and a full table
+        monkeypatch.setattr(packing, "SLOTS", slots)
+        monkeypatch.setattr(packing, "KNOWN", known)
+        own._forget()
+        got = [x for at in range(0, len(texts), 100) for x in own.encode([t.encode() for t in texts[at : at + 100]])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_similar_documents_get_the_same_key():
+    rng = np.random.default_rng(0)
+    idf = rng.random(5000) * 8
+    first, same = packing.priorities(idf), 0
+    for _ in range(300):
+        a = rng.choice(5000, 200, replace=False)
+        b = np.concatenate([a[:160], rng.choice(5000, 40)])
+        same += packing.lexical_key(a, first)[0] == packing.lexical_key(b, first)[0]
+    assert 0.5 < same / 300 < 0.85  # a weighted Jaccard similarity of some 0.67
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     text = "Hello  wörld\n\n it's 'S"

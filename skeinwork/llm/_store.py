@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from skeinwork.sources.tables import session_dir
 
 
 class Store:
-    """Tables of one run. Written as Parquet, they cut the lineage and survive lost executors."""
+    """Tables of one run. Written as Parquet, they cut the lineage and survive lost executors; they go with the session."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.at = f"{shared_dir(spark)}/skeinwork-{uuid.uuid4().hex}"
+        self.spark, self.at = spark, session_dir(spark)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.at}/{name}")

@@ -24,37 +24,98 @@ def rows(spark, data):
 # Language
 
 
+def plain_levels(texts):
+    """Orders 1 to 4 counted in plain Python."""
+    key, _ = lg.grams(texts)
+    counts, out = Counter(key.tolist()), []
+    for n in range(4, 0, -1):
+        if n < 4:
+            counts = Counter(g & (1 << 16 * n) - 1 for g in counts)
+        total = Counter()
+        for g, v in counts.items():
+            total[g >> 16] += v
+        once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+        gram = np.array(sorted(counts), dtype=np.uint64)
+        out.insert(0, {"gram": gram, "count": np.array([counts[g] for g in gram.tolist()], dtype=float), "total": np.array([total[g >> 16] for g in gram.tolist()], dtype=float), "discount": min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)})
+    return out
+
+
 def test_kneser_ney_sums_to_one_and_matches_the_formula():
-    key, of = lg.grams(["abracadabra abra", "cadabra"])
-    g, n = np.unique(key, return_counts=True)
-    keys, logs, contexts, backs, unseen = lg.kneser_ney([{"gram": g, "count": n}])
-    m = lg.Models(["x"], keys, logs, contexts, backs, unseen, np.zeros(1), np.ones(1))
+    tables = plain_levels(["abracadabra abra", "cadabra"])
+    m = lg.kneser_ney([[t] for t in tables], ["x"])
+    g, n = tables[3]["gram"], tables[3]["count"]
     alphabet = np.unique(g & np.uint64(0xFFFF))
     for context in np.unique(g >> np.uint64(16))[:20]:
         p = np.exp(m.log_probabilities(context << np.uint64(16) | alphabet)[:, 0])
         never = np.exp(m.log_probabilities(np.array([context << np.uint64(16) | np.uint64(999)]))[0, 0])
         assert p.sum() + never == pytest.approx(1, abs=1e-5)
-    counts = Counter(dict(zip(g.tolist(), n.tolist(), strict=True)))
-    once, twice = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
-    d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    counts, d = dict(zip(g.tolist(), n.tolist(), strict=True)), tables[3]["discount"]
     best = max(counts, key=counts.get)
     same = [v for k, v in counts.items() if k >> 16 == best >> 16]
     lower = math.exp(m.log_probabilities(np.array([(0xFFFF << 48 | best & (1 << 48) - 1)], dtype=np.uint64))[0, 0])
     assert math.exp(m.log_probabilities(np.array([best], dtype=np.uint64))[0, 0]) == pytest.approx((counts[best] - d) / sum(same) + d * len(same) / sum(same) * lower, rel=1e-4)
 
 
+def test_counts_cover_all_rows(spark, monkeypatch):
+    data = texts(4)
+    docs = rows(spark, data + data[:9]).repartition(5)
+    for most in (lg.TASK_GRAMS, 20):
+        monkeypatch.setattr(lg, "TASK_GRAMS", most)
+        got = lg._levels(lg._counted(docs.select("text", "lang")).persist(), ["aa", "bb"], lg.MAX_CELLS)
+        for j, lang in enumerate(("aa", "bb")):
+            for n, want in enumerate(plain_levels([t for _, x, t in data + data[:9] if x == lang])):
+                assert all(np.allclose(got[n][j][k].astype(float), want[k].astype(float)) if k == "gram" else got[n][j][k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_pruned_model_sums_to_one(spark):
+    levels = lg._levels(lg._counted(rows(spark, texts(4)).select("text", "lang")).persist(), ["aa", "bb"], 160, least_grams=10)
+    assert all(len(t["gram"]) <= 40 for level in levels for t in level) and min(len(t["gram"]) for t in levels[3]) > 0
+    m = lg.kneser_ney(levels, ["aa", "bb"])
+    for context in np.unique(m.keys[3] >> np.uint64(16)):
+        known = np.exp(m.log_probabilities(context << np.uint64(16) | m.keys[0]).astype(float)).sum(0)
+        never = np.exp(m.log_probabilities(np.array([context << np.uint64(16) | np.uint64(999)])).astype(float))[0]
+        assert known + never == pytest.approx(np.ones(2), abs=1e-3)
+
+
 def test_language_of_unseen_texts(spark):
-    models = lg.learn_languages(rows(spark, texts(1)), per_language=40, held_back=15)
+    models = lg.learn_languages(rows(spark, texts(1, 600)), held_back=4)
     test = texts(2)
     docs = rows(spark, [*test, (900, None, None), (901, None, " 12 \n"), (902, None, "#" * 5000), (903, None, "qqqq jjjj vvvv kkkk ffff dddd hhhh gggg " * 9)])
     got = {r.doc_id: r for r in lg.identify_language(docs, models).collect()}
-    assert all(got[i].lang_pred == lang and not got[i].rejected and 0.5 < got[i].score <= 1 for i, lang, _ in test)
+    assert all(got[i].lang_pred == lang and 0.5 < got[i].score <= 1 for i, lang, _ in test)
+    assert sum(got[i].rejected for i, _, _ in test) <= 2
     assert all((got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True) for i in (900, 901, 902)) and got[903].rejected
     kept = lg.keep_identified(docs, models)
-    assert kept.columns == docs.columns and kept.count() == len(test)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.rejected for r in got.values())
     assert lg.identify_language(docs.limit(0), models).count() == 0
-    with pytest.raises(ValueError):
-        lg.learn_languages(docs.limit(0))
+
+
+def test_rejection_of_what_was_not_learned(spark):
+    """An unlearned language and random letters go, all lengths of what was learned stay but for the stated rate."""
+    from pathlib import Path
+
+    sf = Path("/root/testdata/sf0.01")
+    if not sf.is_dir():
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    models = lg.learn_languages(docs.where("lang <> 'de' AND doc_id % 3 > 0"))
+    assert "de" not in models.languages
+    own = lg.identify_language(docs.where("lang <> 'de' AND doc_id % 3 = 0"), models).collect()
+    assert sum(r.rejected for r in own) <= 0.02 * len(own)
+    r = random.Random(6)
+    junk = spark.createDataFrame([(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=400))) for i in range(40)], "doc_id long, text string")
+    assert lg.identify_language(junk, models).where("NOT rejected").count() == 0
+    other = lg.identify_language(docs.where("lang = 'de' AND length(text) > 300"), models)
+    assert other.where("rejected").count() > 0.9 * other.count()
+
+
+def test_languages_of_nothing(spark):
+    docs = rows(spark, texts(3, 5)).limit(0)
+    models = lg.learn_languages(docs)
+    some = rows(spark, [(1, None, "abc"), (2, None, "12"), (3, None, None)])
+    assert models.languages == [] and lg.identify_language(docs, models).count() == 0
+    assert {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in lg.identify_language(some, models).collect()} == {1: ("und", 0.0, False), 2: ("und", 0.0, True), 3: ("und", 0.0, True)}
+    assert [r.doc_id for r in lg.keep_identified(some, models).collect()] == [1]
 
 
 def test_long_text_equals_its_parts():

@@ -3,7 +3,8 @@
 A test item of L characters with an error budget of k edits is split into k + 1 pieces: a passage within k edits of
 it holds at least one piece unchanged. An Aho-Corasick automaton finds the exact hits of all pieces in one pass over
 a text; around each hit, Myers' bit-parallel algorithm finds the best edit distance of the whole item. Documents
-are never shuffled. Items reach the executors in blocks of bounded size, one scan of the documents a block.
+are never shuffled. Items reach the executors in broadcast blocks of bounded size, one scan of the documents a block; a
+Python worker builds a block's automaton once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from skeinwork.llm import _text as tx
 
 _TOKEN = re.compile(r"[^\W_]+")
+#: Characters that an item needs, after normalising: shorter ones are words that any text may hold.
+SHORTEST = 8
 #: Characters of test items that go to the executors at once; more make further blocks, each with a scan of its own.
 BLOCK_CHARS = 8_000_000
 
@@ -86,11 +89,11 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Finds items within their budgets in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, least: int, shortest: int = SHORTEST):
         self.items = []
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if norm := normalise(text or ""):
+            if (norm := normalise(text or "")) and len(norm) >= shortest:
                 k = budget(len(norm), rate, least)
                 for at, piece in pieces(norm, k):
                     found.setdefault(piece, []).append((len(self.items), at))
@@ -102,7 +105,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, distance, budget, start, end) of the best match of each item; positions are of the given text."""
+        """(item_id, distance, budget, start, end) of the best match of each item, by position in the given text."""
         norm = normalise(text)
         if not self.items or not norm:
             return []
@@ -110,6 +113,8 @@ class Matcher:
         for last, (size, where) in self.automaton.iter(norm):
             for i, at in where:
                 _, item, k = self.items[i]
+                if not k and (last + 1 < len(norm) and norm[last + 1] != " " or last >= size and norm[last - size] != " "):
+                    continue  # without a budget, it must be whole words
                 lo = max(0, last + 1 - size - at - k)
                 hi = min(len(norm), last + 1 - size - at + len(item) + k)
                 spans = windows.setdefault(i, [])
@@ -126,22 +131,46 @@ class Matcher:
                 _, back = myers(item[::-1], norm[max(0, end - len(item) - k) : end][::-1])
                 spans = spans or positions(text)[1]
                 out.append((item_id, best[0], k, spans[end - back][0] if back else spans[end - 1][0], spans[end - 1][1]))
-        return sorted(out)
+        return sorted(out, key=lambda hit: hit[3:])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, least: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
+_built: list = []
+
+
+def _matcher(block) -> Matcher:
+    """The matcher of a broadcast block (items, rate, least, shortest), kept by the worker until another block comes."""
+    if not _built or _built[0] is not block.value:
+        _built[:] = [block.value, Matcher(*block.value)]
+    return _built[1]
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, most: int, *options) -> Iterator:
+    """Broadcasts of (items, *options) with about ``most`` characters of items each; one at least."""
+    block, size, made, sc = [], 0, False, items.sparkSession.sparkContext
+    for i, text in items.select(F.col(item_id).cast("long"), F.col(item_text)).toLocalIterator(prefetchPartitions=True):
+        block.append((i, text or ""))
+        size += len(text or "") + 1
+        if size >= most:
+            yield sc.broadcast((block, *options))
+            block, size, made = [], 0, True
+    if block or not made:
+        yield sc.broadcast((block, *options))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, least: int = 40, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and test item within its budget: ``id_col``, ``item_id``, ``distance``, ``budget``, ``start``, ``end``.
 
     Both sides are compared as lower-cased letters and digits with single spaces. An item of L such characters may
-    have ``rate`` * L edits (none below ``least`` characters); its best match gives the distance and the span, in code
-    points of the original text. Null or empty items and texts match nothing; repeated items are reported each.
+    have ``rate`` * L edits; one below ``least`` characters has none and must be whole words of the text; one below
+    ``shortest`` matches nothing. The best match gives the distance and the span, in code points of the original text.
+    Null or empty items and texts match nothing; repeated items, and items with a null id, are reported each.
     """
     tx.small_batches(docs.sparkSession)
     out = None
-    for block in _blocks(items.select(F.col(item_id).cast("long"), F.col(item_text)).toLocalIterator(prefetchPartitions=True), block_chars):
+    for block in _blocks(items, item_id, item_text, block_chars, rate, least, shortest):
 
         def emit(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate, least)
+            matcher = _matcher(block)
             for b in batches:
                 rows = [(i, *hit) for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) if text for hit in matcher.find(text)]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
@@ -153,25 +182,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out.withColumnRenamed("id", id_col)
 
 
-def _blocks(rows, most: int) -> Iterator[list[tuple[int, str]]]:
-    block, size, made = [], 0, False
-    for i, text in rows:
-        block.append((i, text or ""))
-        size += len(text or "") + 1
-        if size >= most:
-            yield block
-            block, size, made = [], 0, True
-    if block or not made:
-        yield block
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, least: int = 40, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no test item; nothing is shuffled."""
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, least: int = 40, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no test item by ``contaminated``'s rule; nothing is shuffled."""
     tx.small_batches(docs.sparkSession)
-    for block in _blocks(items.select(F.col(item_id).cast("long"), F.col(item_text)).toLocalIterator(prefetchPartitions=True), block_chars):
+    for block in _blocks(items, item_id, item_text, block_chars, rate, least, shortest):
 
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate, least)
+            matcher = _matcher(block)
             for b in batches:
                 yield b.filter(pa.array([not (t and matcher.find(t)) for t in b.column(text_col).to_pylist()], pa.bool_()))
 

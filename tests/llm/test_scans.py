@@ -62,7 +62,7 @@ def edited(r, text, k):
 def test_matcher_against_brute_force():
     r = random.Random(9)
     word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(r.randint(8, 30)))) for i in range(12)] + [(98, None), (99, "tiny")]
+    items = [(i, " ".join(word() for _ in range(r.randint(8, 30)))) for i in range(12)] + [(98, None), (99, "tiny item"), (100, "abc")]
     matcher = Matcher(items, 0.05, 40)
     for _ in range(60):
         item = r.choice(items[:12])[1]
@@ -71,7 +71,7 @@ def test_matcher_against_brute_force():
         for i, x in items:
             n = normalise(x or "")
             k = budget(len(n), 0.05, 40)
-            if n and (d := plain_distance(n, normalise(text))) <= k:
+            if len(n) >= 8 and (d := plain_distance(n, normalise(text))) <= k:
                 want[i] = d
         assert {h[0]: h[1] for h in matcher.find(text)} == want
     assert "".join(p for _, p in pieces("abcdefg", 2)) == "abcdefg"
@@ -91,6 +91,17 @@ def test_contaminated_documents(spark):
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0 and decontaminate(docs, items.limit(0)).count() == 6
 
 
+def test_short_items_are_whole_words_and_ids_may_be_null(spark):
+    m = Matcher([(None, "Fine arts"), (None, "the fine art"), (3, "art"), (4, "")], 0.05, 40)
+    hits = lambda text: sorted((s, e) for _, _, _, s, e in m.find(text))
+    assert hits("see the FINE,arts now") == [(8, 17)] and hits("fine artsy, refine arts, art") == [] and hits("The fine art") == [(0, 12)]
+    assert hits("the fine art of fine arts") == [(0, 12), (16, 25)]
+    docs = spark.createDataFrame([(1, "the fine art of fine arts"), (2, "art")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "Fine arts"), (None, "the fine art"), (3, "art")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()] == [(1, None), (1, None)]
+    assert [r.doc_id for r in decontaminate(docs, items, block_chars=5).collect()] == [2]
+
+
 # Secrets
 
 

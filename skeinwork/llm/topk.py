@@ -2,10 +2,11 @@
 
 Vectors get one coordinate more, which gives all of them the same length; then a larger inner product with a query is a
 smaller Euclidean distance to it. Each vector is keyed by its nearest pivot and its distance to that pivot, and the
-table is range-partitioned by (pivot, distance, id), so that a pivot with very many vectors lies in many partitions.
-A task walks its sorted annuli outwards from the queries; by the triangle inequality an annulus can be left out for a query when even the
-closest point it may hold is worse than the query's k-th best so far. The rows of a bounded sample, which also
-gives the pivots, start that bound. Queries come in blocks of bounded size.
+table is range-partitioned by (pivot, distance, id), so that a pivot with very many vectors lies in many parts.
+The rows of a bounded sample, which also gives the pivots, give each query a first bound. Queries are dealt into blocks
+and go to the parts that their bounds allow; where a block and a part meet, sorted annuli are walked outwards from the queries. By the
+triangle inequality an annulus can be left out for a query when even the closest point it may hold is worse than the
+query's k-th best so far.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm._store import Store
 
-#: Rows of the sample that starts the bounds, pivots among them, rows of an annulus, and queries of a block.
-SAMPLE, PIVOTS, ANNULUS, QUERIES = 2048, 128, 512, 8192
+#: Rows of the sample that starts the bounds, pivots among them, and rows of an annulus.
+SAMPLE, PIVOTS, ANNULUS = 2048, 128, 512
+#: Bytes of vectors of a part of the index and of a block of queries, which meet in one task.
+PART_BYTES, QUERY_BYTES = 32_000_000, 16_000_000
+#: Squared lengths up to which scores are exact as doubles, and up to which they are long integers.
+EXACT, MOST = 2.0**53, 2.0**62
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    flat = column.flatten() if isinstance(column, (pa.ListArray, pa.LargeListArray)) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
+    return np.concatenate([*flat, np.zeros(0)]).reshape(-1, dim)
 
 
 class _Best:
@@ -34,11 +40,12 @@ class _Best:
     def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.k, self.floor = ids, k, floor.copy()
         self.query = np.zeros(0, dtype=np.int64)
-        self.score = np.zeros(0)
+        self.score = np.zeros(0, dtype=np.int64)
         self.id = np.zeros(0, dtype=np.int64)
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         ok = ids != self.ids[query]
+        score = score.astype(np.int64)
         query, score, ids = (np.concatenate([a, b[ok]]) for a, b in ((self.query, query), (self.score, score), (self.id, ids)))
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
@@ -53,6 +60,7 @@ class _Best:
 class _Searcher:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, most: float, k: int, floor: np.ndarray):
         self.vectors, self.most, self.best = vectors, most, _Best(ids, k, floor)
+        self.exact = np.float64 if most < EXACT else np.int64
         self.norms = (vectors**2).sum(1)
         lifted = np.sqrt(np.maximum(most - (pivots**2).sum(1), 0))
         self.to_pivots = np.sqrt(np.maximum(self.norms[:, None] + (pivots**2).sum(1)[None, :] + lifted[None, :] ** 2 - 2 * vectors @ pivots.T, 0))
@@ -73,7 +81,7 @@ class _Searcher:
         for _, a, b, top in sorted(parts, key=lambda p: (-p[0], p[1])):
             live = np.flatnonzero(top >= self.best.floor)
             if len(live):
-                score = self.vectors[live] @ x[a:b].T
+                score = self.vectors[live].astype(self.exact) @ x[a:b].T.astype(self.exact)
                 q, r = np.nonzero(score >= self.best.floor[live][:, None])
                 if len(q):
                     self.best.add(live[q], score[q, r], ids[a:b][r])
@@ -82,27 +90,35 @@ class _Searcher:
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
     """``query_id``, ``rank`` (int, from 1), ``vec_id``, ``score``: the k best rows for each query but its own id's rows.
 
-    Components count as floor(``scale`` * component). Rows without an id, with a null vector, a null or non-finite
-    component or another number of components than most have take no part, as queries and as candidates.
-    Ties go to the smaller id. A query with fewer than k others returns all of them.
+    Components count as floor(``scale`` * component). Rows without an id, with a null or empty vector or a null or non-finite
+    component take no part, as queries and as candidates, nor do vectors whose squared length is over 2**62, whose scores
+    may be no long integers. Vectors of different lengths have no inner product: each length is searched on its own.
+    Ties go to the smaller id; rows that share an id are all candidates, and a query asked twice is answered for both rows at once.
+    A query with fewer than k others returns all of them.
     """
     spark = vectors.sparkSession
-    component = lambda v: (v.cast("double") * scale).isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))
+    component = lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))
 
     def whole(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND size(v) > 0").where(F.forall("v", component))
-        return df.select("id", F.transform("v", lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("x"))
-
-    rows = whole(vectors)
-    common = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if common is None:
-        return empty
-    dim = common["n"]
-    rows = rows.where(F.size("x") == dim)
-    asked = whole(queries).where(F.size("x") == dim)
-    most = float(rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c))).first()[0])
-    start = rows.orderBy(F.xxhash64("id", "x"), "id").limit(SAMPLE).toPandas()
+        # The range comes before FLOOR, which would make longs of doubles beyond them.
+        near = F.forall("v", lambda c: F.abs(c.cast("double") * scale) <= MOST**0.5)
+        x = F.transform("v", lambda c: F.floor(c.cast("double") * scale).cast("double"))
+        return df.where(near).select("id", x.alias("x")).withColumn("square", F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)).where(F.col("square") <= MOST)
+
+    rows, asked = whole(vectors), whole(queries)
+    sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max("square").alias("most")).collect()
+    found = [_search(rows.where(F.size("x") == r["dim"]), asked.where(F.size("x") == r["dim"]), r["dim"], r["n"], r["most"], k) for r in sizes]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for part in found:
+        out = out.union(part)
+    return found[0] if len(found) == 1 else out
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, n_rows: int, most: float, k: int) -> DataFrame:
+    spark = rows.sparkSession
+    store = Store(spark)
+    start = rows.orderBy(F.xxhash64("id", "x"), "id").limit(SAMPLE).select("id", "x").toPandas()
     sample_ids, sample = start["id"].to_numpy(), np.array(start["x"].tolist(), dtype=np.float64).reshape(-1, dim)
     pivots = np.unique(sample[:PIVOTS], axis=0)
 
@@ -116,34 +132,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
             dist = np.sqrt(np.maximum(d2[np.arange(len(x)), near], 0))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(near.astype(np.int32)), pa.array(dist), b.column("x")], names=["id", "pivot", "dist", "x"])
 
-    keyed = rows.mapInArrow(key, "id long, pivot int, dist double, x array<double>")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = keyed.repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
-
-    n_blocks = max(1, -(-asked.count() // QUERIES))
-    store = Store(spark) if n_blocks > 1 else None
-    if store:
-        index = store.put(index, "index").sortWithinPartitions("pivot", "dist", "id")
-    found = None
-    for block in range(n_blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).toPandas()
-        ids, q = mine["id"].to_numpy(), np.array(mine["x"].tolist(), dtype=np.float64).reshape(-1, dim)
-        if not len(ids):
-            continue
-        score = q @ sample.T
-        score[ids[:, None] == sample_ids[None, :]] = -np.inf
-        floor = np.sort(score, axis=1)[:, -k] if len(sample) >= k else np.full(len(ids), -np.inf)
-
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, q=q, floor=floor) -> Iterator[pa.RecordBatch]:
+    keyed = rows.select("id", "x").mapInArrow(key, "id long, pivot int, dist double, x array<double>")
+    parts = max(1, -(-n_rows * dim * 8 // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // (4 * ANNULUS)))
+    index = store.put(keyed.repartitionByRange(parts, "pivot", "dist", "id").withColumn("part", F.spark_partition_id()), "index")
+    # The annulus of each pivot in each part: no more rows than pivots and parts together, nearly.
+    ranges = index.groupBy("part", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("part", "pivot").toPandas()
+    n_blocks = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, q = b.column("id").to_numpy(), _matrix(b.column("x"), dim)
+            if len(sample) >= k:
+                score = q @ sample.T
+                score[ids[:, None] == sample_ids[None, :]] = -np.inf
+                floor = np.partition(score, -k, axis=1)[:, -k]
+                floor = floor - (0 if most < EXACT else 1e-9 * most)
+            else:
+                floor = np.full(len(ids), -np.inf)
             s = _Searcher(ids, q, pivots, most, k, floor)
-            for b in batches:
-                if b.num_rows:
-                    s.walk(b.column("pivot").to_numpy(), b.column("dist").to_numpy(), b.column("id").to_numpy(), _matrix(b.column("x"), dim))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s.best.query]), pa.array(s.best.id), pa.array(s.best.score.astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-        part = index.mapInArrow(search, "query_id long, vec_id long, score long")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        part = store.put(part, f"found{block}") if store else part
-        found = part if found is None else found.union(part)
-    return empty if found is None else found
+            live = np.zeros((len(ids), parts), dtype=bool)
+            for part, pivot, lo, hi in zip(ranges["part"], ranges["pivot"], ranges["lo"], ranges["hi"], strict=True):
+                live[:, part] |= s.highest(pivot, lo, hi) >= floor
+            wanted = [np.flatnonzero(x).tolist() for x in live]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(floor), pa.array(wanted, pa.list_(pa.int32()))], names=["query", "q", "floor", "parts"])
+
+    routed = asked.select("id", "x").mapInArrow(route, "query long, q array<double>, floor double, parts array<int>")
+    left = index.select("id", "pivot", "dist", "x", "part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    right = routed.select("query", "q", "floor", F.explode("parts").alias("to"), F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int").alias("of"))
+
+    def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("pivot", "ascending"), ("dist", "ascending"), ("id", "ascending")])
+        s = _Searcher(queries["query"].to_numpy(), _matrix(queries["q"], dim), pivots, most, k, queries["floor"].to_numpy())
+        if rows.num_rows and queries.num_rows:
+            s.walk(rows["pivot"].to_numpy(), rows["dist"].to_numpy(), rows["id"].to_numpy(), _matrix(rows["x"], dim))
+        return pa.table({"query_id": pa.array(s.best.ids[s.best.query], pa.int64()), "vec_id": pa.array(s.best.id, pa.int64()), "score": pa.array(s.best.score, pa.int64())})
+
+    best = left.groupBy("block", "part").cogroup(right.groupBy("of", "to")).applyInArrow(search, "query_id long, vec_id long, score long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -170,20 +170,34 @@ def plain_top(data, k):
     return {(q, r + 1, i, int(s)) for q in ok if q % 20 == 0 for r, (s, i) in enumerate([(-n, i) for n, i in sorted((-float(ok[q] @ ok[i]), i) for i in ok if i != q)][:k])}
 
 
-@pytest.mark.parametrize("blocks", [8192, 2])
-def test_top_k_against_all_pairs(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "QUERIES", blocks)
+@pytest.mark.parametrize("size", [16_000_000, 100])
+def test_top_k_against_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "QUERY_BYTES", size)
+    monkeypatch.setattr(topk, "PART_BYTES", 10 * size)
     monkeypatch.setattr(topk, "SAMPLE", 40)
     monkeypatch.setattr(topk, "ANNULUS", 16)
     r = np.random.default_rng(5)
     data = [(i, [float(x) for x in r.normal(size=3) * (3 if i % 9 == 0 else 0.4)]) for i in range(200)]
-    data += [(i, [0.25, -0.5, 0.125]) for i in range(200, 260)] + [(260, None), (280, []), (300, [1.0, None, 0.0]), (320, [float("nan"), 0.0, 0.0]), (340, [float("inf"), 0.0, 0.0]), (360, [1.0]), (None, [1.0, 1.0, 1.0]), (380, [0.0, 0.0, 0.0])]
+    data += [(i, [0.25, -0.5, 0.125]) for i in range(200, 260)] + [(260, None), (280, []), (300, [1.0, None, 0.0]), (320, [float("nan"), 0.0, 0.0]), (340, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (380, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame([(i, x, 1) for i, x in data], "vec_id long, embedding array<float>, rank int")
     data = [(i, [float(np.float32(c)) if c is not None else None for c in x] if x else x) for i, x in data]
     got = {tuple(x) for x in top_k(v, v.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == plain_top(data, 20)
 
 
+def test_top_k_of_huge_and_unequal_vectors(spark):
+    big = 2.0**24  # scores up to 2**61, more than doubles tell apart
+    data = [(0, [big, big + 1]), (1, [big, big]), (2, [big, big + 2]), (3, [1e160, 1.0]), (20, [1e300, 0.0]), (4, [0.0, 0.0]), (40, [1.0]), (41, [2.0]), (5, [0.5 + 2.0**-8, -1.0]), (60, [3.0, 3.0, 3.0])]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(v, v.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score").collect()]
+    whole = {i: [int(64 * c // 1) for c in x] for i, x in data if max(map(abs, x)) < 1e100}
+    want = []
+    for q in (0, 40, 60):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], x, strict=True)), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))
+        want += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
+    assert sorted(got) == sorted(want)
+
+
 def test_top_k_of_few(spark):
     v = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id, r.score) for r in top_k(v, v.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 8192), (2, 2, 8192)]

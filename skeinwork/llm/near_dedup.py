@@ -25,8 +25,8 @@ from skeinwork.llm._store import Store
 from skeinwork.llm.components import connected_components
 from skeinwork.llm.sketch import band_keys, may_be_similar, registers, shingle_sets
 
-#: Rows of a block of a bucket, in step 3.
-BLOCK = 1024
+#: Rows and shingles of a block of a bucket, on average, in step 3 (8 bytes a shingle).
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Ids that may be broadcast (8 MB); their number is counted first.
 FEW_IDS = 1_000_000
 
@@ -110,15 +110,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, store:
 
 
 def _torn(bands: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the buckets that hold several components: the rows, and the buckets with their size and number of blocks."""
+    """Of the buckets that hold several components: the rows, and the buckets with their size and outermost ids."""
     placed = bands.join(components.withColumnRenamed("component", "__c"), "id", "left").select("key", "id", F.coalesce("__c", "id").alias("c"))
     torn = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b")).where("lo < hi")
-    return placed, torn.select("key", "size", "a", "b", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    return placed, torn.select("key", "size", "a", "b")
 
 
-def _dealt(placed: DataFrame, torn: DataFrame) -> DataFrame:
+def _dealt(placed: DataFrame, torn: DataFrame, reps: DataFrame) -> DataFrame:
     """Each row of a torn bucket once for every pair of blocks (i, j) that its own block belongs to."""
-    rows = placed.join(torn.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = placed.join(torn.select("key"), "key").join(reps.select("id", "n"), "id")
+    held = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("size")))
+    rows = rows.join(held.select("key", blocks.cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("key", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -216,7 +219,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     torn = store.put(torn, "torn")
     twos = store.put(_plausible(torn.where("size = 2").select("a", "b").distinct(), reps, m, similarity), "twos")
     more = _verified(twos, small, shingle_words, percent, store, "more")
-    dealt = store.put(_dealt(placed, torn.where("size > 2")), "dealt")
+    dealt = store.put(_dealt(placed, torn.where("size > 2"), reps), "dealt")
     more = more.union(_compared(dealt, small, shingle_words, percent, store, "compared"))
     components = _merged(near, more, store, "all")
     store.drop("buckets")

@@ -132,7 +132,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """A lexicon from at most ``limit`` labelled documents (a fixed sample of ``labels``, whose fold the caller chose).
 
     An entry's log-likelihood ratio against chance must exceed the logarithm of the number of entries by ``evidence``. At most ``4 * most`` counted entries reach the
-    driver, the best first, and at most ``most`` make the lexicon. Without labels the lexicon is empty.
+    driver, the best first, and at most ``most`` make the lexicon. Repeated label rows count each time; labels other than
+    0 and 1 are left out. Without labels of both kinds the lexicon is empty.
     """
     tx.small_batches(docs.sparkSession)
     rows = sample(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("y")), id_col, limit)
@@ -145,9 +146,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         rate = n_pos / (n_pos + n_neg)
         share = F.col("pos") / (F.col("pos") + F.col("neg"))
         ratio = F.col("pos") * F.log(share / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-        counted = _counted(texts, entries).where("pos + neg >= 3").persist()
-        least = float(np.log(max(1, counted.count()))) + evidence
-        counted = counted.where(f"pos >= 3 AND pos > {rate} * (pos + neg)").withColumn("z", ratio).where(F.col("z") >= least)
+        every = _counted(texts, entries).where("pos + neg >= 3").persist()
+        least = float(np.log(max(1, every.count()))) + evidence
+        counted = every.where(f"pos >= 3 AND pos > {rate} * (pos + neg)").withColumn("z", ratio).where(F.col("z") >= least)
         weights: dict[str, float] = {}
         ends: set[str] = set()
         for r in counted.orderBy(F.desc("z"), F.desc(F.length("entry")), "entry").limit(4 * most).collect():
@@ -155,6 +156,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             if len(weights) < most and e not in ends and not any(e[:k] in weights for k in range(2, len(e) + 1)):
                 weights[e] = float(np.log((r["pos"] + 0.5) / (n_pos + 1)) - np.log((r["neg"] + 0.5) / (n_neg + 1)))
                 ends.update(e[:k] for k in range(2, len(e) + 1))
+        every.unpersist()
         harmless = _counted(texts, lambda t: phrases(t, weights)).where("neg >= 3 AND pos = 0").orderBy(F.desc("neg"), "entry").limit(most)
         lexicon = Lexicon(weights, [r["entry"] for r in harmless.collect()])
 

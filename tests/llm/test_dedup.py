@@ -151,6 +151,31 @@ def test_near_duplicates_against_all_pairs(spark, seed, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_torn_buckets_in_small_blocks(spark, monkeypatch):
+    """Many documents of one template, with fewer bands of one register each, so that buckets hold unlinked groups."""
+    from skeinwork.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "BLOCK", 5)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 300)
+    r = random.Random(5)
+    base = [f"v{i}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(60)] = f"u{r.randint(0, 9)}"
+        docs.append((i, " ".join(w)))
+    got = near_dedup(frame(spark, docs), shingle_words=2, band_rows=1, bands=30).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_near(docs, 2)
+
+
+def test_near_duplicates_of_repeated_ids_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = [(1, long), (2, long + " end"), (3, "a b c d"), (3, "a b c d"), (3, None), (4, "a b c d")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup(frame(spark, docs), shingle_words=2).collect())
+    assert got == [(1, 59_999, 1), (2, 60_000, 1), (3, 0, 3), (3, 3, 3), (3, 3, 3), (4, 3, 3)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup(frame(spark, [(1, "x")]).limit(0)).count() == 0
     got = near_dedup(frame(spark, [(3, None), (4, ""), (9, "One two"), (8, "one TWO"), (None, "one two")])).collect()

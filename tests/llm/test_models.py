@@ -7,7 +7,7 @@ import pytest
 
 from skeinwork.llm import language as lg
 from skeinwork.llm import quality as ql
-from skeinwork.llm.toxicity import fold_text, learn_lexicon, toxicity
+from skeinwork.llm.toxicity import Lexicon, fold_text, learn_lexicon, toxicity
 
 WORDS = {"aa": ["bako", "tolu", "mira", "senda"], "bb": ["wexit", "zorp", "quilch", "yyv"]}
 
@@ -148,6 +148,49 @@ def test_lexicon_catches_disguised_words(spark):
     assert learn_lexicon(docs, labels.limit(0)).weights == {}
 
 
+def plain_features(weights, exceptions, text):
+    """Every place of every entry, looked up letter by letter."""
+    folded = fold_text(text or "")
+    free = [(i, i + len(e)) for e in exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+    total = sum(w for e, w in weights.items() for i in range(len(folded)) if folded.startswith(e, i) and not any(a <= i and i + len(e) <= b for a, b in free))
+    return math.log1p(total), math.log1p(1000 * total / max(1, len(folded.split())))
+
+
+def test_matching_against_every_place():
+    r = random.Random(2)
+    weights, exceptions = {" bad": 1.5, " badword ": 0.7, " nas": 2.0, "ob": 0.25}, [" bad luck ", " nas drive "]
+    own = Lexicon(weights, exceptions, (-2.0, 1.0, 0.1))
+    parts = ["bad", "b4d", "BADWORD", "luck", "nas", "n\u0430s", "drive", "n@s", "lob", "x", ",", "\u200b", "ok"]
+    for _ in range(500):
+        text = " ".join(r.choices(parts, k=r.randint(0, 12)))
+        want = plain_features(weights, exceptions, text)
+        assert own.features(text) == pytest.approx(want)
+        assert own.score(own.features(text)) == pytest.approx(1 / (1 + math.exp(2 - want[0] - 0.1 * want[1])))
+
+
+def test_learned_weights_against_counts(spark):
+    """Weights, the evidence for an entry and exceptions from plain counts of documents; a repeated label row counts twice."""
+    r = random.Random(12)
+    words = ["alpha", "bravo", "carol", "delta", "echo", "fox"]
+    data = [(i, " ".join(r.choices(words, k=8) + ["vile"] * (i % 4 == 0) + ["vile fox"] * (i % 6 == 1)), int(i % 4 == 0)) for i in range(200)]
+    data = [(i, t.replace("vile fox", "clean fox") if y else t, y) for i, t, y in data]
+    labels = [(i, y) for i, _, y in data] + [(0, 1)]
+    got = learn_lexicon(spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    pos, neg, n = Counter(), Counter(), Counter(y for _, y in labels)
+    for i, t, y in [*data, data[0]]:
+        (pos if y else neg).update({e for w in fold_text(t).split() for e in [f" {w[:k]}" for k in range(3, min(len(w), 6) + 1)]} | {f" {w} " for w in fold_text(t).split() if len(w) > 6})
+    rate, every = n[1] / sum(n.values()), [e for e in pos | neg if pos[e] + neg[e] >= 3]
+
+    def evidence(e):
+        p, q = pos[e], neg[e]
+        share = p / (p + q)
+        return p * math.log(share / rate) + (q * math.log((1 - share) / (1 - rate)) if q else 0)
+
+    fit = [e for e in every if pos[e] >= 3 and pos[e] > rate * (pos[e] + neg[e]) and evidence(e) >= math.log(len(every)) + 4]
+    assert set(got.weights) <= set(fit) and got.weights and all(any(e.startswith(k) or k.startswith(e) for k in got.weights) for e in fit)
+    assert all(w == pytest.approx(math.log((pos[e] + 0.5) / (n[1] + 1)) - math.log((neg[e] + 0.5) / (n[0] + 1))) for e, w in got.weights.items())
+
+
 # Quality
 
 

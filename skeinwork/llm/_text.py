@@ -20,8 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are expanded to arrays at once; one longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch; Spark's own number of whole texts takes several times the memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; Spark's own numbers (10,000 and 64 MB) of whole texts take many times the memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -106,10 +106,10 @@ class Words:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches at BATCH_ROWS, unless the session has a number of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Hold Arrow batches at BATCH_ROWS and BATCH_BYTES, unless the session has numbers of its own."""
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(ours))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

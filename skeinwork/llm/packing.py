@@ -29,8 +29,10 @@ from skeinwork.llm._store import Store
 
 #: Bytes of token ids of a shard, and of a partition that is cut into shards.
 SHARD_BYTES, PARTITION_BYTES = 3_000_000, 48_000_000
-#: Pieces of text that a worker remembers, also from one task to the next, with slots by hash and bytes of the longest (some 100 MB).
-KNOWN, SLOTS, LONGEST = 1_500_000, 1 << 22, 64
+#: Pieces of text that a worker remembers, also from one task to the next, with slots by hash and bytes of the longest (some 50 MB).
+KNOWN, SLOTS, LONGEST = 700_000, 1 << 21, 64
+#: Bytes that a document counts in a shard beside its ids.
+DOC_BYTES = 200
 K1, B = 1.2, 0.75
 END = 1
 
@@ -48,7 +50,7 @@ def _class(kind: str) -> str:
 _ODD = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
 #: The pieces that PATTERN makes of lower-cased text without ``_ODD``.
 _PIECES = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_class('L')}{_class('N')}]+")
-_WHITE = re.compile("[\t-\r ]+")
+_WHITE, _WHITE_BYTES = re.compile("[\t-\r ]+"), re.compile(rb"[\t-\r ]+")
 
 
 #: Classes of bytes for the fast path: white space, letters, digits, others.
@@ -92,6 +94,28 @@ def _bounds(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[real], end[real]
 
 
+def _cut(text: bytes) -> list[bytes]:
+    """A long plain text in parts of about CHUNK_BYTES that end at white space, which no piece spans."""
+    out, at = [], 0
+    while len(text) - at > 2 * tx.CHUNK_BYTES and (m := _WHITE_BYTES.search(text, at + tx.CHUNK_BYTES)):
+        out.append(text[at : m.start()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
+def _grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in groups of about CHUNK_BYTES."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= tx.CHUNK_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit integers; equal to the tokenizer's own on the whole text.
 
@@ -207,7 +231,12 @@ class Encoder:
         if not self.split:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         plain = [_plain(t) for t in texts]
-        own = iter(self._plain_ids([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        parts = [_cut(t) for t, p in zip(texts, plain, strict=True) if p]
+        flat, done = [x for p in parts for x in p], []
+        for group in _grouped(flat):
+            done += self._plain_ids(group)
+        ids = iter(done)
+        own = iter([b"".join(next(ids) for _ in p) for p in parts])
         other = iter(self._other_ids([t.decode() for t, p in zip(texts, plain, strict=True) if not p]) if not all(plain) else ())
         return [next(own if p else other) for p in plain]
 
@@ -347,7 +376,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for part, texts in tx.chunks(batches, most=2 * tx.CHUNK_BYTES):
+        for part, texts in tx.chunks(batches):
             ids = [np.frombuffer(x, dtype="<u4") for x in own.encode(texts)]
             # Two bytes an id are enough for a vocabulary of up to 65,536.
             wide = any(len(x) and x.max() > 0xFFFF for x in ids)
@@ -397,13 +426,13 @@ def lexical_key(ids: np.ndarray, first: np.ndarray) -> tuple[float, float]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and token ids of consecutive documents, cut where ``most`` bytes are reached."""
+    """Ids and token ids of consecutive documents, cut where ``most`` bytes, with DOC_BYTES a document, are reached."""
     own, docs, size = [], [], 0
     for b in batches:
         for i, ids in zip(b.column("id").to_pylist(), _ids(b.column("ids"), b.column("wide")), strict=True):
             own.append(i)
             docs.append(ids)
-            size += ids.nbytes
+            size += ids.nbytes + DOC_BYTES
             if size >= most:
                 yield own, docs
                 own, docs, size = [], [], 0

@@ -51,6 +51,14 @@ def test_bytes_tell_the_pieces_of_plain_texts(tokenizer, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+def test_long_texts_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing.tx, "CHUNK_BYTES", 50)
+    r = random.Random(3)
+    texts = [" ".join(r.choices(["ab", "'s", "É,", "\t\t", "w" * 60, "1"], k=r.randint(0, 200))) for _ in range(60)] + ["x" * 500]
+    got = Encoder(PATH).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_similar_documents_get_the_same_key():
     rng = np.random.default_rng(0)
     idf = rng.random(5000) * 8

@@ -7,6 +7,8 @@ values, taken mod 2**64 by prefix sums, so a whole chunk of documents is hashed
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are expanded to arrays at once; one longer document makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows and bytes of an Arrow batch; Spark's own numbers (10,000 and 64 MB) of whole texts take many times the memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -129,6 +131,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             size += n + 1
         if at < len(lengths):
             yield (part := batch.slice(at)), text_bytes(part.column(column))
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker keeps running between tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function, memory stays
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

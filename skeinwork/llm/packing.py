@@ -438,3 +438,4 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
                 own, docs, size = [], [], 0
     if docs:
         yield own, docs
+    tx.release()

@@ -58,9 +58,9 @@ def _bands(reps: DataFrame, m: int, rows: int) -> DataFrame:
                 part = b.slice(at, 2000)
                 regs = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, m)
                 keys = band_keys(regs, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(keys.ravel())), pa.array(np.repeat(part.column("id").to_numpy(), keys.shape[1]))], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(keys.ravel())), *[pa.array(np.repeat(part.column(c).to_numpy(), keys.shape[1])) for c in ("id", "n")]], names=["key", "id", "n"])
 
-    return reps.select("id", "sketch").mapInArrow(emit, "key long, id long")
+    return reps.select("id", F.col("n").cast("int").alias("n"), "sketch").mapInArrow(emit, "key long, id long, n int")
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, m: int, similarity: float) -> DataFrame:
@@ -110,18 +110,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, store:
 
 
 def _torn(bands: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the buckets that hold several components: the rows, and the buckets with their size and outermost ids."""
-    placed = bands.join(components.withColumnRenamed("component", "__c"), "id", "left").select("key", "id", F.coalesce("__c", "id").alias("c"))
-    torn = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b")).where("lo < hi")
-    return placed, torn.select("key", "size", "a", "b")
+    """Of the buckets that hold several components: the rows, and the buckets with their size, outermost ids and number of blocks."""
+    placed = bands.join(components.withColumnRenamed("component", "__c"), "id", "left").select("key", "id", "n", F.coalesce("__c", "id").alias("c"))
+    held = (F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("size")))
+    return placed, placed.groupBy("key").agg(*held).where("lo < hi").select("key", "size", "a", "b", blocks.cast("int").alias("blocks"))
 
 
-def _dealt(placed: DataFrame, torn: DataFrame, reps: DataFrame) -> DataFrame:
+def _dealt(placed: DataFrame, torn: DataFrame) -> DataFrame:
     """Each row of a torn bucket once for every pair of blocks (i, j) that its own block belongs to."""
-    rows = placed.join(torn.select("key"), "key").join(reps.select("id", "n"), "id")
-    held = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("size")))
-    rows = rows.join(held.select("key", blocks.cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = placed.join(torn.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("key", "id", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -215,11 +213,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _verified(tied, small, shingle_words, percent, store, "links")
     near = connected_components(links, store, "near")
 
-    placed, torn = _torn(shared.select("key", "id"), near)
+    placed, torn = _torn(shared.select("key", "id", "n"), near)
     torn = store.put(torn, "torn")
     twos = store.put(_plausible(torn.where("size = 2").select("a", "b").distinct(), reps, m, similarity), "twos")
     more = _verified(twos, small, shingle_words, percent, store, "more")
-    dealt = store.put(_dealt(placed, torn.where("size > 2"), reps), "dealt")
+    dealt = store.put(_dealt(placed, torn.where("size > 2")), "dealt")
     more = more.union(_compared(dealt, small, shingle_words, percent, store, "compared"))
     components = _merged(near, more, store, "all")
     store.drop("buckets")

@@ -2,8 +2,8 @@
 
 Lines are exploded to one row per document and distinct key (a 128-bit hash of the normalised line), keys
 are counted by document with map-side partial aggregation, and the documents get back the hashes that they
-must lose. A frequent line is one row per document in the count and in the join (whose hot keys Spark's
-skew join splits, since nothing above needs a key's rows together); it is never gathered in one group.
+must lose. A frequent line is one row per document in the count and in the join; the most frequent ones, of which
+there are at most HOT_KEYS, are known to all tasks and joined under several salts, so no task gets all rows of one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork.llm import _text as tx
+from skeinwork.llm._store import Store
 
+#: Most keys that are salted, rows that a key needs for it, and salts.
+HOT_KEYS, HOT_ROWS, SALTS = 10_000, 1000, 64
 KEYS = "h1 long, h2 long, id long"
 
 
@@ -62,9 +65,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield keys_of(part.column("text").to_pylist(), part.column("id").to_pylist(), min_chars)
 
     keys = small.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(emit, KEYS)
-    counted = keys.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), *([F.count_distinct("id").alias("n")] if min_docs > 2 else []))
+    counted = keys.groupBy("h1", "h2").agg(F.count("*").alias("rows"), F.min("id").alias("first"), F.max("id").alias("last"), *([F.count_distinct("id").alias("n")] if min_docs > 2 else []))
     frequent = counted.where("first < last" if min_docs == 2 else f"n >= {int(min_docs)}" if min_docs > 2 else "true")
-    hits = keys.join(frequent, ["h1", "h2"])
+    frequent = Store(docs.sparkSession).put(frequent.select("h1", "h2", "first", "rows"), "frequent")
+    # No more than HOT_KEYS keys can have a share of 1 / HOT_KEYS of all rows or more.
+    total = frequent.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") >= max(HOT_ROWS, -(-total // HOT_KEYS))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = keys.join(F.broadcast(frequent.where(hot).select("h1", "h2", F.lit(True).alias("hot"))), ["h1", "h2"], "left").select("h1", "h2", "id", salt.alias("salt"))
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    hits = salted.join(frequent.select("h1", "h2", "first", F.explode(every).alias("salt")), ["h1", "h2", "salt"])
     if keep_first:
         hits = hits.where("id > first")
     lost = hits.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))

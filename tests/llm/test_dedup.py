@@ -56,6 +56,15 @@ def test_lines_against_plain_python(spark, seed):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in got.collect()} == plain_lines(docs)
 
 
+def test_hot_lines_are_salted(spark, monkeypatch):
+    from skeinwork.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "HOT_ROWS", 3)
+    monkeypatch.setattr(ld, "HOT_KEYS", 2)
+    docs = [*corpus(7), *[(100 + i, f"a line that nearly all hold\nown line number {i}") for i in range(200)]]
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in line_dedup(frame(spark, docs).drop("n_lines")).collect()} == plain_lines(docs)
+
+
 def test_lines_edge_cases(spark):
     docs = [(1, "same long line\nSAME LONG LINE "), (2, "\tsame long line\nother"), (None, "same long line"), (3, None)]
     out = {r.doc_id: r.text for r in line_dedup(frame(spark, docs)).collect()}

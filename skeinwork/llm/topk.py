@@ -137,6 +137,7 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, n_rows: int, most: floa
     index = store.put(keyed.repartitionByRange(parts, "pivot", "dist", "id").withColumn("part", F.spark_partition_id()), "index")
     # The annulus of each pivot in each part: no more rows than pivots and parts together, nearly.
     ranges = index.groupBy("part", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("part", "pivot").toPandas()
+    parts = int(ranges["part"].max()) + 1
     n_blocks = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

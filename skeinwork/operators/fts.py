@@ -69,12 +69,14 @@ def match_websearch(vectors: DataFrame, parsed: DataFrame) -> DataFrame:
 
     An alternative without anything wanted matches nothing.
     """
-    size = parsed.groupBy("query_id", "alt", "item", "unwanted").agg(F.count("*").alias("size"))
-    at = ["query_id", "alt", "item", "unwanted", "chunk_id"]
-    # One position tells that a word occurs; a phrase needs all of them.
-    starts = vectors.join(parsed.join(size, ["query_id", "alt", "item", "unwanted"]), "lexeme")
-    starts = starts.select(*at, "size", "ord", F.explode(F.when(F.col("size") == 1, F.slice("positions", 1, 1)).otherwise(F.col("positions"))).alias("p"))
-    hits = starts.groupBy(*at, "size", (F.col("p") - F.col("ord")).alias("start")).agg(F.count_distinct("ord").alias("found")).where("found = size").select(*at).distinct()
+    item = ["query_id", "alt", "item", "unwanted"]
+    size = parsed.groupBy(*item).agg(F.count("*").alias("size"))
+    sized = parsed.join(size, item)
+    # A word's chunks are its postings; only phrases look at positions.
+    words = vectors.join(sized.where("size = 1"), "lexeme").select(*item, "chunk_id")
+    starts = vectors.join(sized.where("size > 1"), "lexeme").select(*item, "chunk_id", "size", "ord", F.explode("positions").alias("p"))
+    runs = starts.groupBy(*item, "chunk_id", "size", (F.col("p") - F.col("ord")).alias("start")).agg(F.count_distinct("ord").alias("found")).where("found = size")
+    hits = words.unionByName(runs.select(*item, "chunk_id").distinct())
     wanted = size.where("NOT unwanted").groupBy("query_id", "alt").agg(F.count("*").alias("wanted"))
     full = hits.where("NOT unwanted").groupBy("query_id", "alt", "chunk_id").agg(F.count("*").alias("found")).join(wanted, ["query_id", "alt"]).where("found = wanted")
     return full.join(hits.where("unwanted"), ["query_id", "alt", "chunk_id"], "left_anti").select("query_id", "chunk_id").distinct()

@@ -653,11 +653,14 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(ann.knn_cosine(ad.vectors(spark, d), dense_queries(spark, d), docs=docs(spark, d)))
 
 
+def ivf_index(spark: SparkSession, d: str) -> ann.IvfIndex:
+    return ad.once(spark, ("ivf", d), lambda path: ann.IvfIndex.create(ad.vectors(spark, d), path))
+
+
 # The tables of up to 2,000 vectors have so few lists that all are probed: there the search is exact, as its SQL.
 @query(_NEAREST)
 def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
-    index = ad.once(spark, ("ivf", d), lambda path: ann.IvfIndex.create(ad.vectors(spark, d), path))
-    return neighbours(index.search(dense_queries(spark, d), docs=docs(spark, d)))
+    return neighbours(ivf_index(spark, d).search(dense_queries(spark, d), docs=docs(spark, d)))
 
 
 @query()

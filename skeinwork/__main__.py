@@ -16,11 +16,11 @@ from skeinwork.sources import files
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet with a doc_id, or an article CSV, which is cleaned and gets ids in the order of its urls' hashes."""
+    """Parquet with a doc_id, or an article CSV, which is cleaned and gets ids from its urls' hashes."""
     if not path.endswith(".csv"):
         return spark.read.parquet(path)
     rows = files.clean_articles(files.read_articles(spark, path)).withColumn("body", clean_body(F.col("body")))
-    return files.first_by(rows.where("url IS NOT NULL"), "url", "title").withColumn("doc_id", F.xxhash64("url"))
+    return files.first_by(rows.where("url IS NOT NULL"), "url", "title").withColumn("doc_id", F.xxhash64("url").bitwiseAND(F.lit(2**62 - 1)))
 
 
 def parser() -> argparse.ArgumentParser:

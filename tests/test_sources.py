@@ -67,3 +67,22 @@ def test_stream_appends(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, body string").parquet(f"{tmp_path}/in")
     append_term_frequencies(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert [(r.doc_id, r.position, r.term, r.tf) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, 0, "word", 30)]
+
+
+def test_indexes_from_files_by_command_line(spark, tmp_path):
+    from skeinwork.__main__ import main
+    from skeinwork.plans.image_index import ImageIndex
+    from skeinwork.plans.text_index import TextIndex
+
+    r = np.random.default_rng(2)
+    (tmp_path / "images").mkdir()
+    for k in (1, 2):
+        pixels = r.integers(0, 256, (96, 96), dtype=np.uint8)
+        (tmp_path / "images" / f"{k}.png").write_bytes(png(pixels))
+    spark.createDataFrame([(k, f"u{k}", "t", "w " * 40, "c", None) for k in (1, 2, 3)], "doc_id long, url string, title string, body string, category string, image_url string").write.parquet(f"file://{tmp_path}/docs")
+    main(["build-image", f"file://{tmp_path}/docs", f"file://{tmp_path}/images", f"file://{tmp_path}/index", "--codebook", "8", "--limit", "1"])
+    index = ImageIndex.read(spark, f"file://{tmp_path}/index")
+    assert index.centroids.count() == 8 and {r.doc_id for r in index.chunks.collect()} == {1}
+    (tmp_path / "a.csv").write_text("url,title,description,body,image_url,category\nu1,t,d," + "running foxes " * 20 + ",,\nu1,t2,d,b,i,c\n")
+    main(["build-text", f"file://{tmp_path}/a.csv", f"file://{tmp_path}/text"])
+    assert [(r.url, r.doc_id > 0) for r in TextIndex.read(spark, f"file://{tmp_path}/text").docs.collect()] == [("u1", True)]

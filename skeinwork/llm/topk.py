@@ -4,7 +4,7 @@ Vectors get one coordinate more, which gives all of them the same length; then a
 smaller Euclidean distance to it. Each vector is keyed by its nearest pivot and its distance to that pivot, and the
 table is range-partitioned by (pivot, distance, id), so that a pivot with very many vectors lies in many parts.
 The rows of a bounded sample, which also gives the pivots, give each query a first bound. Queries are dealt into blocks
-and go to the parts that their bounds allow; where a block and a part meet, sorted annuli are walked outwards from the queries. By the
+by pivot and go to the parts that their bounds allow, and parts to the blocks that want them; where both meet, sorted annuli are walked outwards from the queries. By the
 triangle inequality an annulus can be left out for a query when even the closest point it may hold is worse than the
 query's k-th best so far.
 """
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.llm import _text as tx
 from skeinwork.llm._store import Store
 
 #: Rows of the sample that starts the bounds, pivots among them, and rows of an annulus.
@@ -138,7 +139,21 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, n_rows: int, most: floa
     # The annulus of each pivot in each part: no more rows than pivots and parts together, nearly.
     ranges = index.groupBy("part", "pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("part", "pivot").toPandas()
     parts = int(ranges["part"].max()) + 1
-    n_blocks = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
+    per_block = max(1, QUERY_BYTES // (dim * 8))
+
+    def nearest(q: np.ndarray) -> np.ndarray:
+        return ((pivots**2).sum(1)[None, :] + (most - (pivots**2).sum(1))[None, :] - 2 * q @ pivots.T).argmin(1) if len(q) else np.zeros(0, dtype=np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(pivots), dtype=np.int64)
+        for b in batches:
+            n += np.bincount(nearest(_matrix(b.column("x"), dim)), minlength=len(pivots))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(n)], names=["pivot", "n"])
+
+    of_pivot = np.zeros(len(pivots), dtype=np.int64)
+    for r in asked.select("x").mapInArrow(count, "pivot long, n long").groupBy("pivot").agg(F.sum("n").alias("n")).collect():
+        of_pivot[r["pivot"]] = r["n"]
+    before = np.cumsum(of_pivot) - of_pivot
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,12 +169,17 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, n_rows: int, most: floa
             live = np.zeros((len(ids), parts), dtype=bool)
             for part, pivot, lo, hi in zip(ranges["part"], ranges["pivot"], ranges["lo"], ranges["hi"], strict=True):
                 live[:, part] |= s.highest(pivot, lo, hi) >= floor
+            # Blocks are stretches of the queries by pivot, in hash order within one: near queries want the same parts.
+            near = nearest(q)
+            place = before[near] + (tx.mix(ids.astype(np.int64).view(np.uint64)) % np.maximum(of_pivot[near], 1).astype(np.uint64)).astype(np.int64)
             wanted = [np.flatnonzero(x).tolist() for x in live]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(floor), pa.array(wanted, pa.list_(pa.int32()))], names=["query", "q", "floor", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(floor), pa.array(wanted, pa.list_(pa.int32())), pa.array((place // per_block).astype(np.int32))], names=["query", "q", "floor", "parts", "block"])
 
-    routed = asked.select("id", "x").mapInArrow(route, "query long, q array<double>, floor double, parts array<int>")
-    left = index.select("id", "pivot", "dist", "x", "part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    right = routed.select("query", "q", "floor", F.explode("parts").alias("to"), F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int").alias("of"))
+    routed = store.put(asked.select("id", "x").mapInArrow(route, "query long, q array<double>, floor double, parts array<int>, block int"), "queries")
+    # Rows go to the blocks that want their part, and to no others.
+    blocks = routed.select("block", F.explode("parts").alias("part")).distinct().groupBy("part").agg(F.collect_list("block").alias("blocks"))
+    left = index.join(blocks, "part").select("id", "pivot", "dist", "x", "part", F.explode("blocks").alias("block"))
+    right = routed.select("query", "q", "floor", F.explode("parts").alias("to"), F.col("block").alias("of"))
 
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         rows = rows.sort_by([("pivot", "ascending"), ("dist", "ascending"), ("id", "ascending")])

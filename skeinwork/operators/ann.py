@@ -18,6 +18,8 @@ from skeinwork.sources.tables import Versions
 
 #: Queries and vectors that meet in one task of an exact search: some 30 MB and 60 MB at 512 components.
 QUERY_BLOCK, VECTOR_BLOCK = 8192, 16_384
+#: Rows of a slice of an inverted list, and of the files and tasks that hold it.
+LIST_ROWS = 16_384
 #: Rows that lists are trained on, and rows that the number of probes is measured with.
 TRAINING_ROWS, TUNING_ROWS = 100_000, 256
 
@@ -56,8 +58,14 @@ def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     n_v = max(n_v, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * n_v))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     v = vectors.select("chunk_id", "doc_id", "vector", "norm", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v)).cast("int").alias("v"), every(n_q).alias("q"))
+    q = queries.select("query_id", "vector", "norm", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("q"), every(n_v).alias("v"))
+    return _met(v, q, ["q", "v"], n)
+
+
+def _met(v: DataFrame, q: DataFrame, on: list[str], n: int) -> DataFrame:
+    """The n nearest chunks of each query where vectors and queries with equal ``on`` meet; each such group is one task's."""
     # Names of their own: both sides may come from one table.
-    q = queries.select(F.col("query_id").alias("asked"), F.col("vector").alias("qv"), F.col("norm").alias("qn"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("q"), every(n_v).alias("v"))
+    q = q.select(F.col("query_id").alias("asked"), F.col("vector").alias("qv"), F.col("norm").alias("qn"), *on)
 
     def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
@@ -77,7 +85,7 @@ def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
             out.append((asked[at + row], ids[col], docs[col], score[row, col]))
         return pa.table({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("query_id", "chunk_id", "doc_id", "score"))})
 
-    return vs.top_n(v.groupBy("q", "v").cogroup(q.groupBy("q", "v")).applyInArrow(best, "query_id long, chunk_id long, doc_id long, score double"), n)
+    return vs.top_n(v.groupBy(*on).cogroup(q.groupBy(*on)).applyInArrow(best, "query_id long, chunk_id long, doc_id long, score double"), n)
 
 
 def by_document(found: DataFrame, n: int, docs: DataFrame | None = None) -> DataFrame:
@@ -128,9 +136,13 @@ def train_lists(vectors: DataFrame, lists: int, seed: int = 42) -> DataFrame:
 
 @dataclass
 class IvfIndex:
-    """Vectors in inverted lists, stored in one folder a list, so that a search reads the lists it probes."""
+    """Vectors in inverted lists, stored in one folder a list, so that a search reads the lists it probes.
+
+    A list lies in slices of about LIST_ROWS rows: one that holds a third of all rows is written and searched in many tasks.
+    """
 
-    lists: DataFrame  # chunk_id, doc_id, vector, norm, list_id
+    lists: DataFrame  # chunk_id, doc_id, vector, norm, slice, list_id
+    slices: DataFrame  # list_id, slices; a row a list
     centroids: DataFrame
     probes: int
 
@@ -143,13 +155,16 @@ class IvfIndex:
         lists = lists or ivf_lists(v.count())
         centroids = new.put(train_lists(v, lists), "centroids")
         unit = v.withColumn("unit", F.transform("vector", lambda x: x / F.col("norm")))
-        listed = nearest_centroid(unit, centroids, "unit").withColumnRenamed("word_id", "list_id").drop("unit").select("chunk_id", "doc_id", "vector", "norm", "list_id")
-        listed.repartition("list_id", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("list_id").parquet(f"{new.path}/{new.version}/lists")
-        stored = spark.read.parquet(f"{new.path}/{new.version}/lists")
+        assigned = new.put(nearest_centroid(unit, centroids, "unit").select("chunk_id", "doc_id", "vector", "norm", F.col("word_id").alias("list_id")), "assigned")
+        slices = new.put(assigned.groupBy("list_id").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("slices")), "slices")
+        sliced = assigned.join(F.broadcast(slices), "list_id").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int"))
+        sliced.drop("slices").repartition("list_id", "slice").write.partitionBy("list_id").parquet(f"{new.path}/{new.version}/lists")
+        new.drop("assigned")
+        stored = new.get("lists")
         probes = probes or (1 if lists == 1 else cls._measured(stored, centroids, lists, target))
         new.put(spark.createDataFrame([(probes,)], "probes int"), "settings")
         new.commit()
-        return cls(stored, centroids, probes)
+        return cls(stored, slices, centroids, probes)
 
     @staticmethod
     def _measured(stored: DataFrame, centroids: DataFrame, lists: int, target: float) -> int:
@@ -163,18 +178,22 @@ class IvfIndex:
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> IvfIndex:
         now = Versions(spark, path).current()
-        return cls(now.get("lists"), now.get("centroids"), now.get("settings").first()["probes"])
+        return cls(now.get("lists"), now.get("slices"), now.get("centroids"), now.get("settings").first()["probes"])
 
     def search(self, queries: DataFrame, n: int = 10, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None, probes: int | None = None) -> DataFrame:
         """As ``knn_cosine``, but among the vectors of the ``probes`` lists nearest to each query."""
-        q = prepared(queries).select("query_id", F.transform("vector", lambda x: x / F.col("norm")).alias("qu"))
-        asked = nearest_centroid(q, self.centroids, "qu", max(2, probes or self.probes)).where(F.col("nth") < (probes or self.probes)).withColumnRenamed("word_id", "list_id").drop("nth")
+        probes = probes or self.probes
+        q = prepared(queries).select("query_id", "vector", "norm", F.transform("vector", lambda x: x / F.col("norm")).alias("qu"))
+        asked = nearest_centroid(q, self.centroids, "qu", max(2, probes)).where(F.col("nth") < probes).select("query_id", "vector", "norm", F.col("word_id").alias("list_id"))
         # The lists asked for prune the folders that are read; there are no more of them than centroids.
-        wanted = [r["list_id"] for r in asked.select("list_id").distinct().collect()]
-        held = self.lists.where(F.col("list_id").isin(wanted)) if wanted else self.lists.limit(0)
+        wanted = [(r["list_id"], -(-r["count"] // QUERY_BLOCK)) for r in asked.groupBy("list_id").count().collect()]
+        blocks = F.broadcast(queries.sparkSession.createDataFrame(wanted, "list_id long, blocks int"))
+        held = self.lists.where(F.col("list_id").isin([i for i, _ in wanted])) if wanted else self.lists.limit(0)
         held = held if max_id is None else held.where(F.col("chunk_id") <= max_id)
-        scored = held.join(asked, "list_id").select("query_id", "chunk_id", "doc_id", F.round(dot(F.col("vector"), F.col("qu")) / F.col("norm"), 9).alias("score"))
-        return by_document(vs.top_n(scored, n * pool), n, docs)
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        v = held.withColumn("list_id", F.col("list_id").cast("long")).join(blocks, "list_id").select("chunk_id", "doc_id", "vector", "norm", "list_id", "slice", every("blocks").alias("block"))
+        asked = asked.join(blocks, "list_id").join(F.broadcast(self.slices), "list_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("slice", every("slices"))
+        return by_document(_met(v, asked, ["list_id", "slice", "block"], n * pool), n, docs)
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, n: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = math.inf, seed: int = 42, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None) -> DataFrame:

@@ -45,6 +45,11 @@ class Versions:
     def get(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.version}/{name}")
 
+    def drop(self, name: str) -> None:
+        """Delete a table that the build alone needed."""
+        path, fs = _path(self.spark, f"{self.path}/{self.version}/{name}")
+        fs.delete(path, True)
+
     def commit(self) -> None:
         """Make this version the current one and drop the one before."""
         before = self._named()

@@ -128,6 +128,25 @@ def test_searches_find_nine_tenths_on_the_tables(spark, sf):
     assert np.mean(shares) == 1.0
 
 
+def test_a_list_of_most_rows_lies_in_slices(spark, tmp_path, monkeypatch):
+    """All lists probed give what the exact search gives, however lists and queries are split; ties go to the smaller id."""
+    import numpy as np
+
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(8)
+    copies = [[0.5, 0.25, -1.0, 0.125]] * 120
+    data = [(i, i // 2, [float(x) for x in e]) for i, e in enumerate([*copies, *r.normal(size=(80, 4))])]
+    v = spark.createDataFrame(data, "chunk_id long, doc_id long, vector array<double>")
+    q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    index = ann.IvfIndex.create(v, f"file://{tmp_path}/ivf", lists=4, probes=4)
+    sizes = index.lists.groupBy("list_id", "slice").count().collect()
+    assert sum(x["count"] for x in sizes) == 200 and max(x["count"] for x in sizes) < 40 and index.slices.agg(F.max("slices")).first()[0] >= 8
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id", "score").collect()))
+    assert rows(ann.IvfIndex.read(spark, f"file://{tmp_path}/ivf").search(q)) == rows(ann.knn_cosine(v, q))
+    assert index.search(q.limit(0)).count() == 0 and rows(index.search(q, max_id=130)) == rows(ann.knn_cosine(v, q, max_id=130))
+
+
 def test_exact_search_in_many_blocks(spark, monkeypatch):
     import numpy as np
 

@@ -2,7 +2,7 @@
 
 Documents are tokenised once, where they are read; document frequencies by token id and the mean length are counted over
 all of them. They are then ordered by a lexical key, a weighted MinHash of their token ids: two documents get the same
-key with the probability of the Jaccard similarity of their id sets, weighted by squared idf. Stretches of bounded size
+key with about the probability of the Jaccard similarity of their id sets, weighted by squared idf and saturated count. Stretches of bounded size
 of that order are shards, each with a BM25 inverted index over token ids. A seed document opens a window; the index returns its unused neighbours, best first,
 which fill the window. The document that overflows is cut, its rest opens the next window, and it is the next seed. So
 every sequence but a shard's last is full; the last is cut into powers of two, which need no padding.
@@ -390,7 +390,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             low = [lexical_key(x, first) for x in _ids(b.column("ids"), b.column("wide"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[k] for x in low], pa.float32()) for k in range(2)]], names=["id", "wide", "ids", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[k] for x in low], pa.int64()) for k in range(2)]], names=["id", "wide", "ids", "k1", "k2"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = TaskContext.get().partitionId() << 32
@@ -408,7 +408,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     # A third column splits copies, which share both keys.
     by = ["k1", "k2", F.xxhash64("id", "ids")]
-    dealt = tokens.mapInArrow(keyed, "id long, wide boolean, ids binary, k1 float, k2 float").repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    dealt = tokens.mapInArrow(keyed, "id long, wide boolean, ids binary, k1 long, k2 long").repartitionByRange(parts, *by).sortWithinPartitions(*by)
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, ids array<int>"
     return dealt.select("id", "wide", "ids").mapInArrow(fill, schema).withColumnRenamed("id", id_col)
 
@@ -419,10 +419,15 @@ def priorities(idf: np.ndarray) -> np.ndarray:
     return (-np.log(1 - u) / np.maximum(idf, 1e-9) ** 2).astype(np.float32)
 
 
-def lexical_key(ids: np.ndarray, first: np.ndarray) -> tuple[float, float]:
-    """The two smallest priorities of a document's ids (its end counts, so there is one at least)."""
-    p = np.unique(first[ids])[:2]
-    return float(p[0]), float(p[-1])
+def lexical_key(ids: np.ndarray, first: np.ndarray) -> tuple[int, int]:
+    """Hashes of the two ids of smallest priority, divided by BM25's saturated count (its end counts, so there is one id at least).
+
+    The ids' hashes and not their priorities: those are smaller in longer documents, which would gather in one place.
+    """
+    ids, count = np.unique(ids, return_counts=True)
+    low = ids[np.argsort(first[ids] * (1 + K1 / count), kind="stable")[:2]]
+    key = tx.mix(low.astype(np.uint64) + np.uint64(77)) >> np.uint64(1)
+    return int(key[0]), int(key[-1])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[np.ndarray]]]:

@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skeinwork.llm import _text as tx
@@ -65,6 +66,44 @@ def test_hot_lines_are_salted(spark, monkeypatch):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in line_dedup(frame(spark, docs).drop("n_lines")).collect()} == plain_lines(docs)
 
 
+def test_lines_are_kept_without_a_table_in_between(spark, monkeypatch):
+    """Each file that executors write costs a process on file systems without native calls; the default rule needs none."""
+    from skeinwork.llm import line_dedup as ld
+
+    def put(*_):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(ld.Store, "put", put)
+    docs = [*corpus(8), *[(100 + i, f"a line that nearly all hold\nown line number {i}\nshort") for i in range(300)]]
+    for min_docs in (1, 2):
+        got = line_dedup(frame(spark, docs).drop("n_lines"), min_docs=min_docs)
+        assert {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in got.collect()} == plain_lines(docs)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.mark.parametrize(("min_docs", "keep_first"), [(3, True), (2, False), (3, False), (1, False)])
+def test_other_rules_with_salted_lines(spark, monkeypatch, min_docs, keep_first):
+    from skeinwork.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "HOT_ROWS", 3)
+    monkeypatch.setattr(ld, "HOT_KEYS", 2)
+    docs = [(i, "\n".join([f"held by so many documents {n}" for n in range(1, 9) if i % n == 0] + [f"own line number {i}", "short"])) for i in range(40)]
+    holders = {}
+    for i, t in docs:
+        for line in t.split("\n"):
+            holders.setdefault(line, []).append(i)
+    want = {i: "\n".join(x for x in t.split("\n") if x == "short" or len(holders[x]) < min_docs or keep_first and holders[x][0] == i) for i, t in docs}
+    assert {r.doc_id: r.text for r in line_dedup(frame(spark, docs), min_docs=min_docs, keep_first=keep_first).collect()} == want
+
+
+def test_key_sets():
+    from skeinwork.llm.line_dedup import key_sets
+
+    column = pa.array([[(9, 9)], None, [], [(1, -1), (2, 3)]], pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64())])))
+    key = lambda *x: b"".join(n.to_bytes(8, "little", signed=True) for n in x)
+    assert key_sets(column.slice(1)) == [set(), set(), {key(1, -1), key(2, 3)}] and key_sets(column.slice(0, 0)) == []
+
+
 def test_lines_edge_cases(spark):
     docs = [(1, "same long line\nSAME LONG LINE "), (2, "\tsame long line\nother"), (None, "same long line"), (3, None)]
     out = {r.doc_id: r.text for r in line_dedup(frame(spark, docs)).collect()}

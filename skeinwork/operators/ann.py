@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int, admit: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``prepared`` vectors(chunk_id, doc_id, vector) and queries(query_id, vector): the n nearest chunks of each query by cosine.
 
     Both sides are dealt into blocks of bounded size, every query block meets every vector block in a task of its own,
@@ -59,11 +59,14 @@ def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     v = vectors.select("chunk_id", "doc_id", "vector", "norm", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v)).cast("int").alias("v"), every(n_q).alias("q"))
     q = queries.select("query_id", "vector", "norm", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("q"), every(n_v).alias("v"))
-    return _met(v, q, ["q", "v"], n)
+    return _met(v, q, ["q", "v"], n, admit)
 
 
-def _met(v: DataFrame, q: DataFrame, on: list[str], n: int) -> DataFrame:
-    """The n nearest chunks of each query where vectors and queries with equal ``on`` meet; each such group is one task's."""
+def _met(v: DataFrame, q: DataFrame, on: list[str], n: int, admit: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The n nearest chunks of each query where vectors and queries with equal ``on`` meet; each such group is one task's.
+
+    ``admit(queries, vectors)`` tells, as a matrix, which pairs of unit vectors count. Queries may bring a ``least`` score.
+    """
     # Names of their own: both sides may come from one table.
     q = q.select(F.col("query_id").alias("asked"), F.col("vector").alias("qv"), F.col("norm").alias("qn"), *on)
 
@@ -75,9 +78,11 @@ def _met(v: DataFrame, q: DataFrame, on: list[str], n: int) -> DataFrame:
         keep, out = min(n, len(ids)), []
         for at in range(0, len(asked), 512):
             score = np.round(y[at : at + 512] @ x.T, 9)
+            if admit is not None:
+                score[~admit(y[at : at + 512], x)] = -2
             # All ties of the n-th best stay: the last step takes the smaller ids.
             least = np.partition(score, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            row, col = np.nonzero(score >= least[:, None])
+            row, col = np.nonzero((score >= least[:, None]) & (score >= -1.5))
             order = np.lexsort((ids[col], -score[row, col], row))
             row, col = row[order], col[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -197,14 +202,29 @@ class IvfIndex:
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, n: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = math.inf, seed: int = 42, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """As ``knn_cosine``, but by bucketed random projections of unit vectors: candidates share a bucket and lie within ``radius``, anywhere by default."""
-    vectors = vectors if max_id is None else vectors.where(F.col("chunk_id") <= max_id)
-    unit = lambda df: df.withColumn("vector", F.transform("vector", lambda x: x / F.col("norm"))).withColumn("features", array_to_vector("vector"))
-    v, q = unit(prepared(vectors)), unit(prepared(queries))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v)
-    near = model.approxSimilarityJoin(v, q, radius, distCol="d")
-    scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.col("datasetA.doc_id").alias("doc_id"), F.round(1 - F.col("d") * F.col("d") / 2, 9).alias("score"))
-    return by_document(vs.top_n(scored, n * pool), n, docs)
+    """As ``knn_cosine``, but by bucketed random projections of unit vectors: candidates share a bucket and lie within ``radius``, anywhere by default.
+
+    Buckets are wide, so most pairs share one. They are told apart where blocks of queries and vectors meet; no row is made of a pair.
+    """
+    v = prepared(vectors if max_id is None else vectors.where(F.col("chunk_id") <= max_id))
+    size = v.select(F.size("vector").alias("n")).first()
+    planes = _directions(v.sparkSession, tables, size["n"] if size else 1, seed)
+
+    def admit(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        hy, hx = np.floor(y @ planes.T / bucket), np.floor(x @ planes.T / bucket)
+        shared = np.zeros((len(y), len(x)), dtype=bool)
+        for t in range(tables):
+            shared |= hy[:, t, None] == hx[None, :, t]
+        return shared if math.isinf(radius) else shared & (2 - 2 * (y @ x.T) < radius * radius)
+
+    return by_document(nearest_chunks(v, prepared(queries), n * pool, admit), n, docs)
+
+
+def _directions(spark: SparkSession, tables: int, size: int, seed: int) -> np.ndarray:
+    """Unit vectors of normal numbers in the order of Spark's own BucketedRandomProjectionLSH, so that buckets are the same."""
+    r = spark._jvm.java.util.Random(seed)
+    rows = np.array([[r.nextGaussian() for _ in range(size)] for _ in range(tables)])
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -211,3 +211,26 @@ def test_precision_drops_the_query_itself(spark):
 def test_codebook_order(spark):
     cf = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5), ("d", 1)], "term string, cf long")
     assert [(r.word_id, r.term) for r in vs.codebook(cf, 3).orderBy("word_id").collect()] == [(1, "c"), (2, "a"), (3, "b")]
+
+
+def test_buckets_are_told_apart_without_rows_of_pairs(spark):
+    """The neighbours of Spark's own bucketed projections, and a shuffle that doesn't grow with the pairs."""
+    import numpy as np
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i + 1, i, r.tolist()) for i, r in enumerate(x)], "chunk_id long, doc_id long, vector array<double>")
+    q = v.where("chunk_id <= 20").withColumnRenamed("chunk_id", "query_id").select("query_id", "vector")
+    for bucket, radius in ((0.25, float("inf")), (0.5, 0.9)):
+        features = v.withColumn("features", array_to_vector("vector"))
+        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=2, seed=42).fit(features)
+        pairs = model.approxSimilarityJoin(features, q.withColumn("features", array_to_vector("vector")), radius if radius < 9 else 1e9, distCol="d")
+        want = {}
+        for r in pairs.select("datasetB.query_id", "datasetA.chunk_id", "d").collect():
+            want.setdefault(r.query_id, []).append((round(1 - r.d * r.d / 2, 9), -r.chunk_id))
+        want = {(k, -c) for k, found in want.items() for _, c in sorted(found, reverse=True)[:10]}
+        got = ann.lsh_search(v, q, bucket=bucket, tables=2, radius=radius)
+        assert {(r.query_id, r.chunk_id) for r in got.collect()} == want
+        assert "hashes" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.operators import vectorspace as vs
-from skeinwork.sources.tables import Versions
+from skeinwork.sources.tables import Versions, session_dir
 
 #: Queries and vectors that meet in one task of an exact search: some 30 MB and 60 MB at 512 components.
 QUERY_BLOCK, VECTOR_BLOCK = 8192, 16_384
@@ -68,12 +68,14 @@ def _met(v: DataFrame, q: DataFrame, on: list[str], n: int, admit: Callable[[np.
     ``admit(queries, vectors)`` tells, as a matrix, which pairs of unit vectors count. Queries may bring a ``least`` score.
     """
     # Names of their own: both sides may come from one table.
-    q = q.select(F.col("query_id").alias("asked"), F.col("vector").alias("qv"), F.col("norm").alias("qn"), *on)
+    bounded = ["least"] if "least" in q.columns else []
+    q = q.select(F.col("query_id").alias("asked"), F.col("vector").alias("qv"), F.col("norm").alias("qn"), *bounded, *on)
 
     def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
             return pa.table({k: pa.array([], pa.float64() if k == "score" else pa.int64()) for k in ("query_id", "chunk_id", "doc_id", "score")})
         x, ids, docs = _matrix(vectors["vector"]) / vectors["norm"].to_numpy()[:, None], vectors["chunk_id"].to_numpy(), vectors["doc_id"].to_numpy()
+        floor = queries["least"].to_numpy() if bounded else np.full(queries.num_rows, -2.0)
         asked, y = queries["asked"].to_numpy(), _matrix(queries["qv"]) / queries["qn"].to_numpy()[:, None]
         keep, out = min(n, len(ids)), []
         for at in range(0, len(asked), 512):
@@ -82,7 +84,7 @@ def _met(v: DataFrame, q: DataFrame, on: list[str], n: int, admit: Callable[[np.
                 score[~admit(y[at : at + 512], x)] = -2
             # All ties of the n-th best stay: the last step takes the smaller ids.
             least = np.partition(score, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            row, col = np.nonzero((score >= least[:, None]) & (score >= -1.5))
+            row, col = np.nonzero((score >= np.maximum(least, floor[at : at + 512])[:, None]) & (score >= -1.5))
             order = np.lexsort((ids[col], -score[row, col], row))
             row, col = row[order], col[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -114,7 +116,8 @@ def ivf_lists(rows: int) -> int:
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector_col: str = "vector", probes: int = 1) -> DataFrame:
-    """``vectors`` with ``word_id`` and ``nth`` of the ``probes`` nearest ``centroids(word_id, centroid)``; ties to the smaller id.
+    """``vectors`` with ``word_id``, and with several ``probes`` ``nth`` and the squared distance ``d2``, of the nearest
+    ``centroids(word_id, centroid)``; ties to the smaller id.
 
     Centroids are a codebook of bounded size; they reach every task as one array, and nothing is shuffled.
     """
@@ -125,7 +128,7 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector_col: str =
     if probes == 1:
         return joined.withColumn("word_id", F.array_min(distances)["word_id"]).drop("__centroids")
     near = F.slice(F.array_sort(distances), 1, probes)
-    return joined.select(*vectors.columns, F.posexplode(near).alias("nth", "__near")).select(*vectors.columns, "nth", F.col("__near")["word_id"].alias("word_id"))
+    return joined.select(*vectors.columns, F.posexplode(near).alias("nth", "__near")).select(*vectors.columns, "nth", F.col("__near")["d"].alias("d2"), F.col("__near")["word_id"].alias("word_id"))
 
 
 def train_lists(vectors: DataFrame, lists: int, seed: int = 42) -> DataFrame:
@@ -147,7 +150,7 @@ class IvfIndex:
     """
 
     lists: DataFrame  # chunk_id, doc_id, vector, norm, slice, list_id
-    slices: DataFrame  # list_id, slices; a row a list
+    slices: DataFrame  # list_id, slices, radius: the largest distance of a unit vector from the centroid; a row a list
     centroids: DataFrame
     probes: int
 
@@ -160,9 +163,11 @@ class IvfIndex:
         lists = lists or ivf_lists(v.count())
         centroids = new.put(train_lists(v, lists), "centroids")
         unit = v.withColumn("unit", F.transform("vector", lambda x: x / F.col("norm")))
-        assigned = new.put(nearest_centroid(unit, centroids, "unit").select("chunk_id", "doc_id", "vector", "norm", F.col("word_id").alias("list_id")), "assigned")
-        slices = new.put(assigned.groupBy("list_id").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("slices")), "slices")
-        sliced = assigned.join(F.broadcast(slices), "list_id").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int"))
+        placed = nearest_centroid(unit, centroids, "unit").join(F.broadcast(centroids), "word_id")
+        away = F.sqrt(squared_distance(F.col("unit"), F.col("centroid")))
+        assigned = new.put(placed.select("chunk_id", "doc_id", "vector", "norm", F.col("word_id").alias("list_id"), away.alias("away")), "assigned")
+        slices = new.put(assigned.groupBy("list_id").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("slices"), F.max("away").alias("radius")), "slices")
+        sliced = assigned.drop("away").join(F.broadcast(slices.drop("radius")), "list_id").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int"))
         sliced.drop("slices").repartition("list_id", "slice").write.partitionBy("list_id").parquet(f"{new.path}/{new.version}/lists")
         new.drop("assigned")
         stored = new.get("lists")
@@ -185,20 +190,40 @@ class IvfIndex:
         now = Versions(spark, path).current()
         return cls(now.get("lists"), now.get("slices"), now.get("centroids"), now.get("settings").first()["probes"])
 
-    def search(self, queries: DataFrame, n: int = 10, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None, probes: int | None = None) -> DataFrame:
-        """As ``knn_cosine``, but among the vectors of the ``probes`` lists nearest to each query."""
-        probes = probes or self.probes
+    def search(self, queries: DataFrame, n: int = 10, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None, probes: int | None = None, exact: bool = False) -> DataFrame:
+        """As ``knn_cosine``, but among the vectors of the ``probes`` lists nearest to each query.
+
+        If ``exact``, the other lists are searched as well unless their radius shows that they hold no vector among the
+        n * ``pool`` nearest; they only return vectors that reach those found before.
+        """
+        lists = self.slices.count()
+        probes = max(1, min(probes or self.probes, lists))
         q = prepared(queries).select("query_id", "vector", "norm", F.transform("vector", lambda x: x / F.col("norm")).alias("qu"))
-        asked = nearest_centroid(q, self.centroids, "qu", max(2, probes)).where(F.col("nth") < probes).select("query_id", "vector", "norm", F.col("word_id").alias("list_id"))
+        near = nearest_centroid(q, self.centroids, "qu", max(2, lists if exact else probes)).withColumnRenamed("word_id", "list_id").drop("qu")
+        found = self._probed(near.where(F.col("nth") < probes).select("query_id", "vector", "norm", "list_id"), n * pool, max_id)
+        if exact and probes < lists:
+            spark = queries.sparkSession
+            found.drop("rank").write.parquet(path := f"{session_dir(spark)}/found")
+            found = spark.read.parquet(path)
+            # A query that has not yet enough vectors asks all lists.
+            least = found.groupBy("query_id").agg(F.when(F.count("*") >= n * pool, F.min("score")).otherwise(-1.0).alias("least"))
+            rest = near.where(F.col("nth") >= probes).join(least, "query_id", "left").fillna({"least": -1.0}).join(F.broadcast(self.slices), "list_id")
+            gap = F.greatest(F.lit(0.0), F.sqrt("d2") - F.col("radius"))
+            rest = rest.where(1 - gap * gap / 2 >= F.col("least") - 1e-8).select("query_id", "vector", "norm", "list_id", "least")
+            found = vs.top_n(found.unionByName(self._probed(rest, n * pool, max_id).drop("rank")), n * pool)
+        return by_document(found, n, docs)
+
+    def _probed(self, asked: DataFrame, n: int, max_id: int | None) -> DataFrame:
+        """The n nearest chunks of each of ``asked(query_id, vector, norm, list_id)`` in the lists that it asks."""
         # The lists asked for prune the folders that are read; there are no more of them than centroids.
         wanted = [(r["list_id"], -(-r["count"] // QUERY_BLOCK)) for r in asked.groupBy("list_id").count().collect()]
-        blocks = F.broadcast(queries.sparkSession.createDataFrame(wanted, "list_id long, blocks int"))
+        blocks = F.broadcast(asked.sparkSession.createDataFrame(wanted, "list_id long, blocks int"))
         held = self.lists.where(F.col("list_id").isin([i for i, _ in wanted])) if wanted else self.lists.limit(0)
         held = held if max_id is None else held.where(F.col("chunk_id") <= max_id)
         every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
         v = held.withColumn("list_id", F.col("list_id").cast("long")).join(blocks, "list_id").select("chunk_id", "doc_id", "vector", "norm", "list_id", "slice", every("blocks").alias("block"))
-        asked = asked.join(blocks, "list_id").join(F.broadcast(self.slices), "list_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("slice", every("slices"))
-        return by_document(_met(v, asked, ["list_id", "slice", "block"], n * pool), n, docs)
+        asked = asked.join(blocks, "list_id").join(F.broadcast(self.slices.drop("radius")), "list_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("slice", every("slices"))
+        return _met(v, asked, ["list_id", "slice", "block"], n)
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, n: int = 10, bucket: float = 1.0, tables: int = 8, radius: float = math.inf, seed: int = 42, pool: int = 16, max_id: int | None = None, docs: DataFrame | None = None) -> DataFrame:

@@ -234,3 +234,19 @@ def test_buckets_are_told_apart_without_rows_of_pairs(spark):
         got = ann.lsh_search(v, q, bucket=bucket, tables=2, radius=radius)
         assert {(r.query_id, r.chunk_id) for r in got.collect()} == want
         assert "hashes" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_that_are_not_probed_are_searched_if_they_may_hold_neighbours(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    # Clusters far from each other, whose lists are left out, and vectors all over, whose lists are not.
+    x = np.concatenate([r.normal(size=(150, 8)), *[c + 0.01 * r.normal(size=(60, 8)) for c in 4 * r.normal(size=(5, 8))]])
+    v = spark.createDataFrame([(i + 1, i // 2, e.tolist()) for i, e in enumerate(x)], "chunk_id long, doc_id long, vector array<double>")
+    q = v.where("(chunk_id - 1) % 9 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    found = lambda df: {(r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect()}
+    index = ann.IvfIndex.create(v, f"file://{tmp_path}/ivf", lists=12, probes=1)
+    for n, pool in ((10, 16), (5, 2)):
+        want = found(ann.knn_cosine(v, q, n, pool))
+        assert found(index.search(q, n, pool, exact=True)) == want != found(index.search(q, n, pool))
+    assert found(index.search(q, max_id=200, exact=True)) == found(ann.knn_cosine(v, q, max_id=200))

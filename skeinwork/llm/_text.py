@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import SparkSession
+
+from skeinwork.functions.batches import small_batches as small_batches
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,8 +23,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are expanded to arrays at once; one longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 19
-#: Rows and bytes of an Arrow batch; Spark's own numbers (10,000 and 64 MB) of whole texts take many times the memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -107,13 +106,6 @@ class Words:
         return np.arange(len(of)) - shift[of] + self.first[of], of
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches at BATCH_ROWS and BATCH_BYTES, unless the session has numbers of its own."""
-    for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == usual:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(ours))
-
-
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, with null as empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

@@ -30,4 +30,4 @@ class Engine:
 
     def search_fts(self, queries: DataFrame, top_n: int = 10, pool: int = 16, max_chunks: int | None = None) -> DataFrame:
         """Web search syntax: words, "phrases", -unwanted, OR."""
-        return fts.fts_search(self.text.chunks, fts.tsvector(self.text.chunks), queries, self.text.docs, top_n, pool, max_chunks)
+        return fts.fts_search(self.text.chunks, queries, self.text.docs, top_n, pool, max_chunks)

@@ -15,7 +15,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches at BATCH_ROWS and BATCH_BYTES, unless the session has numbers of its own."""
     for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == usual:
+        # Without a default of ours: with one, None is returned where the session has set nothing.
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(ours))
 
 
